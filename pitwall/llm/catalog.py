@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import quality_rules
+from . import minhash, quality_rules
 
-QUERIES = {"op1_quality_rules": quality_rules.op1}
+QUERIES = {"op1_quality_rules": quality_rules.op1, "op9_minhash": minhash.op9}
 ORACLES = {"op1_quality_rules": quality_rules.ORACLE}
