@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import minhash, quality_rules
+from . import lines, minhash, quality_rules
 
-QUERIES = {"op1_quality_rules": quality_rules.op1, "op9_minhash": minhash.op9}
+QUERIES = {"op1_quality_rules": quality_rules.op1, "op9_minhash": minhash.op9, "op10_line_dedup": lines.op10}
 ORACLES = {"op1_quality_rules": quality_rules.ORACLE}

@@ -50,14 +50,13 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def link(nodes: DataFrame, keys: str, central: Column, candidate: Callable[[str, str], Column], carried: list[str], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(nodes: DataFrame, posted: DataFrame, candidate: Callable[[str, str], Column], carried: list[str], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(id, component) for the nodes that have a link.
 
-    ``nodes`` has id, an array column ``keys`` and the ``carried`` columns, from which
-    ``candidate("x", "y")`` decides cheaply whether the nodes aliased x and y may be
-    linked; ``central`` ranks nodes as pivots. ``verify`` gets distinct pairs (a < b) and returns those that are links.
+    ``nodes`` has id and the ``carried`` columns, from which ``candidate("x", "y")`` decides
+    cheaply whether the nodes aliased x and y may be linked. ``posted`` has id, key and rank, which
+    orders nodes as pivots. ``verify`` gets distinct pairs (a < b) and returns those that are links.
     """
-    posted = nodes.select("id", central.alias("rank"), F.explode(keys).alias("key"))
     hashed = [F.max_by("id", F.xxhash64("id", F.lit(s))).alias(f"p{s}") for s in range(HASHED_PIVOTS)]
     pivots = posted.groupBy("key").agg(F.max_by("id", F.struct("rank", "id")).alias("p"), *hashed, F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("lo", "hi")
     rays = posted.select("id", "key").join(pivots, "key").select("id", F.explode(F.array_distinct(F.array("p", *[f"p{s}" for s in range(HASHED_PIVOTS)]))).alias("pivot"))
@@ -67,10 +66,9 @@ def link(nodes: DataFrame, keys: str, central: Column, candidate: Callable[[str,
     first = checkpointed(verify(checkpointed(likely)))
     grouped = checkpointed(components(first))
 
-    labelled = nodes.select("id", keys, *carried).join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    spread = labelled.select("id", "component", F.explode(keys).alias("key"), *carried)
+    spread = posted.select("id", "key").join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = spread.join(mixed, "key")
+    rest = spread.join(mixed, "key").join(info, "id")
     x = rest.select("key", F.struct("id", "component", *carried).alias("x"))
     y = rest.select("key", F.struct("id", "component", *carried).alias("y"))
     apart = x.join(y, (x["key"] == y["key"]) & (F.col("x.component") < F.col("y.component")) & candidate("x", "y"))

@@ -182,7 +182,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
         both = F.size(F.array_intersect("sa", "sb"))
         return pairs.join(left, "a").join(right, "b").withColumn("both", both).where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
-    linked = link(nodes, "prefix", F.col("weight"), candidate, ["n", "common"], verify)
+    linked = link(nodes, nodes.select("id", F.col("weight").alias("rank"), F.explode("prefix").alias("key")), candidate, ["n", "common"], verify)
     of_class = classes.select("set_key", "id").join(linked, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     return signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 

@@ -128,7 +128,9 @@ def plan_cascade(docs: DataFrame, rules=RULES, text: str = "text", rows: int = S
     The cost is the time of a job that evaluates the rule on the sample, less that of an
     empty job. Documents that fail the base test don't count: no rule sees them.
     """
-    sample = with_statistics(docs.select(F.col(f"`{text}`").alias("text")).sample(0.2, seed=11).limit(rows)).where(~base_failed()).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), REPEATS))).persist()
+    # take() reads only as many partitions as it needs, however large the table.
+    taken = docs.select(F.col(f"`{text}`").cast("string").alias("text")).sample(0.2, seed=11).take(rows)
+    sample = with_statistics(docs.sparkSession.createDataFrame(taken, "text string")).where(~base_failed()).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), REPEATS))).persist()
     try:
         n = max(1, sample.count())
 
