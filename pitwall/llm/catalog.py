@@ -2,7 +2,13 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, quality_rules
+from . import lines, minhash, mixing, packing, quality_rules
 
-QUERIES = {"op1_quality_rules": quality_rules.op1, "op9_minhash": minhash.op9, "op10_line_dedup": lines.op10}
-ORACLES = {"op1_quality_rules": quality_rules.ORACLE}
+QUERIES = {
+    "op1_quality_rules": quality_rules.op1,
+    "op2_packing": packing.op2,
+    "op8_mixing": mixing.op8,
+    "op9_minhash": minhash.op9,
+    "op10_line_dedup": lines.op10,
+}
+ORACLES = {"op1_quality_rules": quality_rules.ORACLE, "op8_mixing": mixing.oracle()}
