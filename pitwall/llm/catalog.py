@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import lines, minhash, mixing, packing, quality_rules
+from . import kneser_ney, lines, minhash, mixing, packing, quality_rules
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
     "op2_packing": packing.op2,
+    "op7_kneser_ney": kneser_ney.op7,
     "op8_mixing": mixing.op8,
     "op9_minhash": minhash.op9,
     "op10_line_dedup": lines.op10,
