@@ -100,3 +100,12 @@ def utf8_parts(column: pa.Array) -> tuple[memoryview, list[int]]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Keys that are broadcast at most: 16 MB as rows of one long.
+BROADCAST_KEYS = 1_000_000
+
+
+def only(df: DataFrame, keys: DataFrame, column: str) -> DataFrame:
+    """Join ``df`` with ``keys`` (a distinct ``column`` and perhaps another long); broadcasts them only if counted to be few."""
+    return df.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, column)

@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import arrow_map, utf8_parts, written
+from .common import arrow_map, only, utf8_parts, written
 from .linking import link
 from .minhash import WordHashes
 

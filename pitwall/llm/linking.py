@@ -50,12 +50,14 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def link(nodes: DataFrame, posted: DataFrame, candidate: Callable[[str, str], Column], carried: list[str], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(nodes: DataFrame, posted: DataFrame, candidate: Callable[[str, str], Column], carried: list[str], verify: Callable[[DataFrame], DataFrame], residual: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) for the nodes that have a link.
 
     ``nodes`` has id and the ``carried`` columns, from which ``candidate("x", "y")`` decides
     cheaply whether the nodes aliased x and y may be linked. ``posted`` has id, key and rank, which
     orders nodes as pivots. ``verify`` gets distinct pairs (a < b) and returns those that are links.
+    ``residual`` gets (id, component) of the nodes under keys of several components and returns pairs
+    (a, b) that contain every link between components; by default these nodes are joined on their keys.
     """
     hashed = [F.max_by("id", F.xxhash64("id", F.lit(s))).alias(f"p{s}") for s in range(HASHED_PIVOTS)]
     pivots = posted.groupBy("key").agg(F.max_by("id", F.struct("rank", "id")).alias("p"), *hashed, F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("lo", "hi")
@@ -63,16 +65,21 @@ def link(nodes: DataFrame, posted: DataFrame, candidate: Callable[[str, str], Co
     pairs = _pairs(rays.where("id <> pivot"), "id", "pivot")
     info = nodes.select("id", *carried)
     likely = pairs.join(info.select(F.struct("*").alias("x")), F.col("a") == F.col("x.id")).join(info.select(F.struct("*").alias("y")), F.col("b") == F.col("y.id")).where(candidate("x", "y")).select("a", "b")
-    first = checkpointed(verify(checkpointed(likely)))
+    likely = checkpointed(likely)
+    first = checkpointed(verify(likely))
     grouped = checkpointed(components(first))
 
     spread = posted.select("id", "key").join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = spread.join(mixed, "key").join(info, "id")
-    x = rest.select("key", F.struct("id", "component", *carried).alias("x"))
-    y = rest.select("key", F.struct("id", "component", *carried).alias("y"))
-    apart = x.join(y, (x["key"] == y["key"]) & (F.col("x.component") < F.col("y.component")) & candidate("x", "y"))
-    again = checkpointed(_pairs(apart.select(F.col("x.id").alias("id"), F.col("y.id").alias("pivot")), "id", "pivot").join(likely, ["a", "b"], "left_anti"))
+    rest = spread.join(mixed, "key")
+    if residual is not None:
+        apart = residual(rest.select("id", "component").distinct()).select(F.col("a").alias("id"), F.col("b").alias("pivot"))
+    else:
+        rest = rest.join(info, "id")
+        x = rest.select("key", F.struct("id", "component", *carried).alias("x"))
+        y = rest.select("key", F.struct("id", "component", *carried).alias("y"))
+        apart = x.join(y, (x["key"] == y["key"]) & (F.col("x.component") < F.col("y.component")) & candidate("x", "y")).select(F.col("x.id").alias("id"), F.col("y.id").alias("pivot"))
+    again = checkpointed(_pairs(apart, "id", "pivot").join(likely, ["a", "b"], "left_anti"))
     more = checkpointed(verify(again))
     if more.isEmpty():
         return grouped

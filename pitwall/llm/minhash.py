@@ -13,6 +13,9 @@ MATCH of the K coordinates collide:
    that tokens of frequent passages are rarely posted at all.
 4. Postings are merged around pivots; pairs that already lie in one component are skipped (see :mod:`linking`).
 5. Candidates are confirmed on the full shingle sets, exactly.
+6. Documents under tokens of several components may still be linked across them. For these few an exact
+   prefix join over their shingles, rarest first and with the bound on the overlap that positions
+   give, yields the pairs left to confirm (:func:`across`); a document with a fifth of shingles of its own drops out at once.
 
 With K = 48 and MATCH = 25, a pair at similarity 0.8 is missed with a probability of about 2e-6.
 
@@ -29,7 +32,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, utf8_parts, written
+from . import blobs
+from .common import arrow_map, checkpointed, only, utf8_parts, written
 from .linking import link
 
 K = 48
@@ -149,6 +153,103 @@ def _sets(size: int):
     return make
 
 
+_POSTED = np.dtype([("s", "<u8"), ("id", "<i8"), ("component", "<i8"), ("n", "<u4"), ("at", "<u4")])
+
+
+def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
+    return (mixed(keys.astype(_U)) % _U(buckets)).astype(np.int32)
+
+
+def _packed_by(key: str, records: np.ndarray, buckets: int) -> pa.Table:
+    packer = blobs.Packer(buckets)
+    batches = [*packer.add(_bucket(records[key], buckets), records), *packer.flush()]
+    return pa.Table.from_batches(batches, pa.schema([("bucket", pa.int32()), ("packed", pa.binary())]))
+
+
+def _posted_shingles(size: int, buckets: int):
+    def run(batches):
+        known, packer = WordHashes(), blobs.Packer(buckets)
+        for batch in batches:
+            data, at = utf8_parts(batch.column(2))
+            for i, (doc, component) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                shingles = shingle_set(known.of(words_of(data[at[i] : at[i + 1]])), size)
+                records = np.zeros(len(shingles), dtype=_POSTED)
+                records["s"], records["id"], records["component"], records["n"] = shingles, doc, component, len(shingles)
+                yield from packer.add(_bucket(shingles, buckets), records)
+        yield from packer.flush()
+
+    return run
+
+
+def _counted(buckets: int):
+    """Keep shingles of two documents or more, with their number of documents in ``at``; deal them by document."""
+
+    def reduce(records: np.ndarray) -> pa.Table:
+        records = records[np.argsort(records["s"], kind="stable")]
+        _, back, counts = np.unique(records["s"], return_inverse=True, return_counts=True)
+        records["at"] = counts[back]
+        return _packed_by("id", records[records["at"] > 1], buckets)
+
+    return reduce
+
+
+def _prefixes(percent: int, buckets: int):
+    """Each document's shingles up to its prefix, with their positions; deal them by shingle."""
+
+    def reduce(records: np.ndarray) -> pa.Table:
+        records = records[np.lexsort((records["s"], records["at"], records["id"]))]
+        _, first, counts = np.unique(records["id"], return_index=True, return_counts=True)
+        n = records["n"].astype(np.int64)
+        # Shingles of no other document come before all others.
+        at = np.arange(len(records)) - np.repeat(first, counts) + n - np.repeat(counts, counts)
+        keep = at < n - -(-percent * n // 100) + 1
+        records["at"] = at
+        return _packed_by("s", records[keep], buckets)
+
+    return reduce
+
+
+def _across(percent: int, block: int = 1024):
+    """Pairs of different components under a shingle that can still reach the overlap."""
+
+    def reduce(records: np.ndarray) -> pa.Table:
+        records = records[np.lexsort((records["component"], records["s"]))]
+        cuts = np.flatnonzero(records["s"][1:] != records["s"][:-1]) + 1
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i, j in zip([0, *cuts], [*cuts, len(records)], strict=True):
+            own = records[i:j]
+            if len(own) < 2 or own["component"][0] == own["component"][-1]:
+                continue
+            # The most frequent component meets the rest only; blocks bound the memory of a frequent shingle.
+            values, counts = np.unique(own["component"], return_counts=True)
+            rest = own[own["component"] != values[counts.argmax()]]
+            for lo in range(0, len(rest), block):
+                for hi in range(0, len(own), block):
+                    x, y = rest[lo : lo + block, None], own[None, hi : hi + block]
+                    nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
+                    left = 1 + np.minimum(nx - x["at"] - 1, ny - y["at"] - 1)
+                    p, q = np.nonzero((x["component"] != y["component"]) & ((100 + percent) * left >= percent * (nx + ny)) & (100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)))
+                    a.append(rest["id"][lo + p])
+                    b.append(own["id"][hi + q])
+        x, y = np.concatenate(a), np.concatenate(b)
+        pairs = np.unique(np.stack([np.minimum(x, y), np.maximum(x, y)], axis=1), axis=0) if len(x) else np.zeros((0, 2), np.int64)
+        return pa.table({"a": pairs[:, 0].copy(), "b": pairs[:, 1].copy()})
+
+    return reduce
+
+
+def across(texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
+    """Pairs (a, b) of ``members`` (id, component) in different components, among them all with the given similarity."""
+    members = checkpointed(members.select(F.col("id").alias("doc_id"), "component"))
+    found = only(texts, members, "doc_id").select("doc_id", "component", "text")
+    characters = found.agg(F.sum(F.length("text"))).first()[0] or 0
+    buckets = max(32, characters * _POSTED.itemsize // 5 // (24 << 20))
+    posted = found.mapInArrow(_posted_shingles(size, buckets), blobs.SCHEMA)
+    counted = blobs.by_bucket(posted, _POSTED, _counted(buckets), blobs.SCHEMA)
+    prefixes = blobs.by_bucket(counted, _POSTED, _prefixes(percent, buckets), blobs.SCHEMA)
+    return blobs.by_bucket(prefixes, _POSTED, _across(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int = K, match: int = MATCH) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every document.
 
@@ -177,12 +278,15 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = written(arrow_map(texts.join(wanted, "doc_id", "left_semi"), _sets(size), "id long, shingles array<long>"), "sets")
+        sets = written(arrow_map(only(texts, checkpointed(wanted), "doc_id"), _sets(size), "id long, shingles array<long>"), "sets")
         left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
         return pairs.join(left, "a").join(right, "b").withColumn("both", both).where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
 
-    linked = link(nodes, nodes.select("id", F.col("weight").alias("rank"), F.explode("prefix").alias("key")), candidate, ["n", "common"], verify)
+    def residual(members: DataFrame) -> DataFrame:
+        return across(texts, members, size, percent)
+
+    linked = link(nodes, nodes.select("id", F.col("weight").alias("rank"), F.explode("prefix").alias("key")), candidate, ["n", "common"], verify, residual)
     of_class = classes.select("set_key", "id").join(linked, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     return signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
