@@ -55,11 +55,11 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
     """Cut the lineage: write to the shared folder and read the table back."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -38,7 +38,7 @@ ORDER = 2
 _U = np.uint64
 START, END = _U(0x243F6A8885A308D3), _U(0x13198A2E03707344)
 #: N-grams that a map task gathers before it sorts them.
-GATHERED = 2_000_000
+GATHERED = 3_000_000
 
 
 def gram_hash(words: np.ndarray) -> np.ndarray:
@@ -92,9 +92,12 @@ def _count(order: int, buckets: int):
         def counted():
             words = np.concatenate(held)
             keys, at, (n,) = _summed(gram_hash(words), np.ones(len(words), dtype=_U))
-            records = np.empty(len(keys), dtype=_packed(order))
-            records["w"], records["n"] = words[at], np.minimum(n, _U(0xFFFFFFFF))
-            return bucket(keys), records
+            # A count takes one byte; a larger one is spread over several records.
+            copies = ((n + _U(254)) // _U(255)).astype(np.int64)
+            records = np.empty(int(copies.sum()), dtype=_packed(order))
+            records["w"], records["n"] = np.repeat(words[at], copies, axis=0), 255
+            records["n"][np.cumsum(copies) - 1] = n - (copies.astype(_U) - _U(1)) * _U(255)
+            return np.repeat(bucket(keys), copies), records
 
         for batch in batches:
             data, at = utf8_parts(batch.column(0))
@@ -113,7 +116,7 @@ def _count(order: int, buckets: int):
 
 
 def _packed(order: int) -> np.dtype:
-    return np.dtype([("w", "<u8", (order,)), ("n", "<u4")])
+    return np.dtype([("w", "<u8", (order,)), ("n", "u1")])
 
 
 def _write(folder: str, name: str, *columns: np.ndarray) -> None:
@@ -201,7 +204,7 @@ def train(texts: DataFrame, order: int = ORDER, buckets: int | None = None) -> M
     packed = texts.select("text").mapInArrow(_count(order, buckets), blobs.SCHEMA)
     for k in range(order, 0, -1):
         dtype = _packed(order) if k == order else _dtype(k)
-        passed = written(blobs.by_bucket(packed, dtype, _reduce(k, k == order, model.folder, buckets), "kind int, bucket int, packed binary"), f"order{k}")
+        passed = written(blobs.by_bucket(packed, dtype, _reduce(k, k == order, model.folder, buckets), "kind int, bucket int, packed binary"), f"order{k}", "zstd")
         sums = np.zeros(7, dtype=object)
         for row in passed.where("kind = 0").select("packed").toLocalIterator():  # 56 bytes a bucket
             sums += np.frombuffer(row[0], dtype="<u8").astype(object)
