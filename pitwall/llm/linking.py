@@ -56,8 +56,9 @@ def link(nodes: DataFrame, posted: DataFrame, candidate: Callable[[str, str], Co
     ``nodes`` has id and the ``carried`` columns, from which ``candidate("x", "y")`` decides
     cheaply whether the nodes aliased x and y may be linked. ``posted`` has id, key and rank, which
     orders nodes as pivots. ``verify`` gets distinct pairs (a < b) and returns those that are links.
-    ``residual`` gets (id, component) of the nodes under keys of several components and returns pairs
-    (a, b) that contain every link between components; by default these nodes are joined on their keys.
+    What is left after the pivots are nodes that meet a candidate of another component under a key. By
+    default these candidates are all paired; ``residual`` gets instead (id, component) of
+    the nodes that have one and returns pairs (a, b) that contain every link between components.
     """
     hashed = [F.max_by("id", F.xxhash64("id", F.lit(s))).alias(f"p{s}") for s in range(HASHED_PIVOTS)]
     pivots = posted.groupBy("key").agg(F.max_by("id", F.struct("rank", "id")).alias("p"), *hashed, F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("lo", "hi")
@@ -71,13 +72,13 @@ def link(nodes: DataFrame, posted: DataFrame, candidate: Callable[[str, str], Co
 
     spread = posted.select("id", "key").join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
     mixed = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = spread.join(mixed, "key")
+    rest = spread.join(mixed, "key").join(info, "id")
+    x = rest.select("key", F.struct("id", "component", *carried).alias("x"))
+    y = rest.select("key", F.struct("id", "component", *carried).alias("y"))
     if residual is not None:
-        apart = residual(rest.select("id", "component").distinct()).select(F.col("a").alias("id"), F.col("b").alias("pivot"))
+        met = x.join(y, (x["key"] == y["key"]) & (F.col("x.component") != F.col("y.component")) & candidate("x", "y"), "left_semi")
+        apart = residual(met.select("x.id", "x.component").distinct()).select(F.col("a").alias("id"), F.col("b").alias("pivot"))
     else:
-        rest = rest.join(info, "id")
-        x = rest.select("key", F.struct("id", "component", *carried).alias("x"))
-        y = rest.select("key", F.struct("id", "component", *carried).alias("y"))
         apart = x.join(y, (x["key"] == y["key"]) & (F.col("x.component") < F.col("y.component")) & candidate("x", "y")).select(F.col("x.id").alias("id"), F.col("y.id").alias("pivot"))
     again = checkpointed(_pairs(apart, "id", "pivot").join(likely, ["a", "b"], "left_anti"))
     more = checkpointed(verify(again))

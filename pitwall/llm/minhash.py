@@ -13,7 +13,7 @@ MATCH of the K coordinates collide:
    that tokens of frequent passages are rarely posted at all.
 4. Postings are merged around pivots; pairs that already lie in one component are skipped (see :mod:`linking`).
 5. Candidates are confirmed on the full shingle sets, exactly.
-6. Documents under tokens of several components may still be linked across them. For these few an exact
+6. Documents with a candidate in another component may still be linked across. For these few an exact
    prefix join over their shingles, rarest first and with the bound on the overlap that positions
    give, yields the pairs left to confirm (:func:`across`); a document with a fifth of shingles of its own drops out at once.
 
@@ -266,7 +266,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     common = posted.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("ranked"), F.sum("count").alias("weight")).where(F.size("ranked") >= match)
     nodes = written(
         common.join(classes.select("id", "n"), "id").select(
-            "id", "n", "weight", F.col("ranked.token").alias("common"),
+            "id", "n", "weight", F.transform("ranked.token", lambda t: F.shiftright(t, 32).cast("int")).alias("common"),
             F.slice(F.col("ranked.token"), 1, F.size("ranked") - F.lit(match - 1)).alias("prefix"),
         ),
         "nodes",
