@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import byte_cnn, kneser_ney, lines, minhash, mixing, packing, quality_rules, style_tree, suffix_dedup
+from . import byte_cnn, kneser_ney, lines, minhash, mixing, packing, quality_rules, style_tree, suffix_dedup, webp
 
 QUERIES = {
     "op1_quality_rules": quality_rules.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_byte_cnn": byte_cnn.op3,
     "op4_style_tree": style_tree.op4,
     "op5_suffix_dedup": suffix_dedup.op5,
+    "op6_webp": webp.op6,
     "op7_kneser_ney": kneser_ney.op7,
     "op8_mixing": mixing.op8,
     "op9_minhash": minhash.op9,
