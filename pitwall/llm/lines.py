@@ -1,7 +1,8 @@
 """Fuzzy line deduplication: SimHash, pigeonhole blocks, edit similarity, connected groups.
 
-1. Lines are normalised (lower case, digits to 0, punctuation and white space to single spaces).
-   Lines shorter than ``min_chars`` then are never removed: short lines recur in clean text.
+1. Lines are normalised (lower case, digits to 0, ASCII punctuation and white space to single spaces).
+   Lines of fewer than ``min_chars`` bytes then
+   are never removed: short lines recur in clean text.
 2. Equal normalised lines collapse; each distinct line gets a 64-bit SimHash of its words.
 3. Two SimHashes within DISTANCE bits agree on at least blocks - DISTANCE of their blocks, so
    lines are joined on every such choice of blocks.
@@ -15,7 +16,6 @@ table; doc_id is unique; extra columns pass through :func:`deduplicate_lines` un
 
 from __future__ import annotations
 
-import re
 from itertools import combinations
 
 import numpy as np
@@ -30,14 +30,18 @@ from .minhash import WordHashes
 
 DISTANCE = 3
 MIN_CHARS = 24
-_NOT_WORD = re.compile(r"[\W_]+")
-_DIGIT = re.compile(r"\d")
+#: Bytes of lower-cased UTF-8: digits become 0, other ASCII that is no letter a space; the line end stays.
+_PLAIN = bytes(b if b > 127 or b == 10 or chr(b).isalpha() else 48 if chr(b).isdigit() else 32 for b in range(256))
 _RECORD = np.dtype([("key", "<u8"), ("id", "<i8")])
 
 
+def plain_words(text: str) -> list[list[bytes]]:
+    """The normalised words of every line."""
+    return [line.split() for line in text.lower().encode().translate(_PLAIN).split(b"\n")]
+
+
 def normalised(line: str) -> str:
-    line = _NOT_WORD.sub(" ", line.lower()).strip()
-    return _DIGIT.sub("0", line)
+    return b" ".join(plain_words(line)[0]).decode()
 
 
 def simhashes(words: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -68,17 +72,13 @@ def _occurrences(min_chars: int):
         def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
             docs, numbers, keys, words, counts = [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for number, line in enumerate((text or "").split("\n")):
-                    if len(line) < min_chars:
-                        continue
-                    line = normalised(line)
-                    if len(line) < min_chars:
+                for number, own in enumerate(plain_words(text or "")):
+                    raw = b" ".join(own)
+                    if len(raw) < min_chars:
                         continue
-                    raw = line.encode()
                     docs.append(doc)
                     numbers.append(number)
                     keys.append(xxhash.xxh3_128_digest(raw))
-                    own = raw.split()
                     words.extend(own)
                     counts.append(len(own))
             if not docs:
@@ -146,7 +146,7 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, min_chars: int = MIN_CHA
         body = written(arrow_map(texts.join(at, "doc_id").select("text", F.col("at.line"), F.col("at.id")), _picked, "id long, body string"), "bodies")
         both = pairs.join(body.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(body.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
         most = F.floor(F.lit(100 - percent) * F.greatest(F.length("x"), F.length("y")) / F.lit(100)).cast("int")
-        return both.withColumn("most", most).where("abs(length(x) - length(y)) <= most").where(F.expr("levenshtein(x, y) <= most")).select("a", "b")
+        return both.withColumn("most", most).where("abs(length(x) - length(y)) <= most").where("levenshtein(x, y, most) >= 0").select("a", "b")
 
     grouped = link(nodes, posted, candidate, ["sim"], verify)
     labelled = distinct.join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
@@ -159,9 +159,9 @@ def _picked():
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, bodies = [], []
         for text, numbers, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            lines = (text or "").split("\n")
+            lines = plain_words(text or "")
             ids += own
-            bodies += [normalised(lines[n]) for n in numbers]
+            bodies += [b" ".join(lines[n]).decode() for n in numbers]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.string())], ["id", "body"])
 
     return one

@@ -17,8 +17,6 @@ from pyspark.sql import functions as F
 
 from .common import checkpointed
 
-#: Pivots of a key besides its most central node, each the largest under a hash of its own.
-HASHED_PIVOTS = 3
 
 
 def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
@@ -50,19 +48,20 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def link(nodes: DataFrame, posted: DataFrame, candidate: Callable[[str, str], Column], carried: list[str], verify: Callable[[DataFrame], DataFrame], residual: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link(nodes: DataFrame, posted: DataFrame, candidate: Callable[[str, str], Column], carried: list[str], verify: Callable[[DataFrame], DataFrame], residual: Callable[[DataFrame], DataFrame] | None = None, hashed_pivots: int = 0) -> DataFrame:
     """(id, component) for the nodes that have a link.
 
     ``nodes`` has id and the ``carried`` columns, from which ``candidate("x", "y")`` decides
     cheaply whether the nodes aliased x and y may be linked. ``posted`` has id, key and rank, which
     orders nodes as pivots. ``verify`` gets distinct pairs (a < b) and returns those that are links.
+    A key's pivots are its most central node and ``hashed_pivots`` more, each the largest under a hash of its own.
     What is left after the pivots are nodes that meet a candidate of another component under a key. By
     default these candidates are all paired; ``residual`` gets instead (id, component) of
     the nodes that have one and returns pairs (a, b) that contain every link between components.
     """
-    hashed = [F.max_by("id", F.xxhash64("id", F.lit(s))).alias(f"p{s}") for s in range(HASHED_PIVOTS)]
+    hashed = [F.max_by("id", F.xxhash64("id", F.lit(s))).alias(f"p{s}") for s in range(hashed_pivots)]
     pivots = posted.groupBy("key").agg(F.max_by("id", F.struct("rank", "id")).alias("p"), *hashed, F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("lo", "hi")
-    rays = posted.select("id", "key").join(pivots, "key").select("id", F.explode(F.array_distinct(F.array("p", *[f"p{s}" for s in range(HASHED_PIVOTS)]))).alias("pivot"))
+    rays = posted.select("id", "key").join(pivots, "key").select("id", F.explode(F.array_distinct(F.array("p", *[f"p{s}" for s in range(hashed_pivots)]))).alias("pivot"))
     pairs = _pairs(rays.where("id <> pivot"), "id", "pivot")
     info = nodes.select("id", *carried)
     likely = pairs.join(info.select(F.struct("*").alias("x")), F.col("a") == F.col("x.id")).join(info.select(F.struct("*").alias("y")), F.col("b") == F.col("y.id")).where(candidate("x", "y")).select("a", "b")

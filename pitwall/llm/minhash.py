@@ -286,7 +286,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     def residual(members: DataFrame) -> DataFrame:
         return across(texts, members, size, percent)
 
-    linked = link(nodes, nodes.select("id", F.col("weight").alias("rank"), F.explode("prefix").alias("key")), candidate, ["n", "common"], verify, residual)
+    linked = link(nodes, nodes.select("id", F.col("weight").alias("rank"), F.explode("prefix").alias("key")), candidate, ["n", "common"], verify, residual, hashed_pivots=3)
     of_class = classes.select("set_key", "id").join(linked, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
     return signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
 
