@@ -6,7 +6,8 @@
 2. Equal normalised lines collapse; each distinct line gets a 64-bit SimHash of its words.
 3. Two SimHashes within DISTANCE bits agree on at least blocks - DISTANCE of their blocks, so
    lines are joined on every such choice of blocks.
-4. Pairs within DISTANCE bits are verified by edit similarity (100 * distance <= (100 - percent) * longer length).
+4. Pairs within DISTANCE bits and of a possible length are verified by edit similarity
+   (100 * distance <= (100 - percent) * longer length): common ends are cut, bounds decide most pairs, an exact bit-parallel distance the others.
 5. Of each connected group of lines one occurrence stays: the first by (doc_id, line number).
 
 Defined results: a null or empty text has no lines to remove and stays as it is; a line
@@ -63,6 +64,95 @@ def blocks_for(lines: int) -> int:
     return 5 if lines < 50_000_000 else 6 if lines < 4_000_000_000 else 7
 
 
+def _least_distance(x: str, y: str) -> int:
+    """A lower bound: characters that one has more often than the other must be changed."""
+    from collections import Counter
+
+    more = Counter(x)
+    more.subtract(y)
+    return max(sum(n for n in more.values() if n > 0), -sum(n for n in more.values() if n < 0))
+
+
+def _most_distance(x: str, y: str, enough: int, look: int = 8) -> int:
+    """An upper bound from aligning words greedily; gives up beyond ``enough``."""
+    a, b = x.split(" "), y.split(" ")
+    i = j = cost = 0
+    while i < len(a) and j < len(b):
+        if a[i] == b[j]:
+            i, j = i + 1, j + 1
+            continue
+        p = q = look
+        for total in range(1, look + 1):
+            hit = next((k for k in range(total + 1) if i + k < len(a) and j + total - k < len(b) and a[i + k] == b[j + total - k]), None)
+            if hit is not None:
+                p, q = hit, total - hit
+                break
+        cost += max(sum(map(len, a[i : i + p])) + p, sum(map(len, b[j : j + q])) + q)
+        if cost > enough:
+            return cost
+        i, j = i + p, j + q
+    return cost + max(sum(map(len, a[i:])) + len(a) - i, sum(map(len, b[j:])) + len(b) - j) if i < len(a) or j < len(b) else cost
+
+
+def edit_distance(x: str, y: str) -> int:
+    """Exact, with a column of the table in the bits of two integers."""
+    if len(x) < len(y):
+        x, y = y, x
+    if not y:
+        return len(x)
+    where: dict = {}
+    for k, c in enumerate(y):
+        where[c] = where.get(c, 0) | 1 << k
+    full, top, score = (1 << len(y)) - 1, 1 << (len(y) - 1), len(y)
+    up, down = full, 0
+    for c in x:
+        eq = where.get(c, 0)
+        diagonal = (((eq & up) + up) ^ up) | eq | down
+        rise, fall = down | ~(diagonal | up) & full, diagonal & up
+        score += 1 if rise & top else -1 if fall & top else 0
+        rise = rise << 1 | 1
+        up = (fall << 1 | ~(diagonal | rise)) & full
+        down = diagonal & rise & full
+    return score
+
+
+def similar(x: str, y: str, percent: int) -> bool:
+    """Whether 100 * edit distance <= (100 - percent) * longer length."""
+    most = (100 - percent) * max(len(x), len(y)) // 100
+    if abs(len(x) - len(y)) > most:
+        return False
+    ahead = _common(x, y)
+    x, y = x[ahead:], y[ahead:]
+    behind = _common(x[::-1], y[::-1])
+    x, y = x[: len(x) - behind], y[: len(y) - behind]
+    if max(len(x), len(y)) <= most or _most_distance(x, y, most) <= most:
+        return True
+    return _least_distance(x, y) <= most and edit_distance(x, y) <= most
+
+
+def _common(x: str, y: str) -> int:
+    """Length of the common start, by halving."""
+    lo, hi = 0, min(len(x), len(y))
+    while lo < hi:
+        mid = (lo + hi + 1) // 2
+        if x[lo:mid] == y[lo:mid]:
+            lo = mid
+        else:
+            hi = mid - 1
+    return lo
+
+
+def _verified(percent: int):
+    def make():
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch:
+            hit = [similar(x, y, percent) for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+            return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], ["a", "b"]).filter(pa.array(hit, pa.bool_()))
+
+        return one
+
+    return make
+
+
 def _occurrences(min_chars: int):
     def make():
         import xxhash
@@ -70,7 +160,7 @@ def _occurrences(min_chars: int):
         known = WordHashes()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            docs, numbers, keys, words, counts = [], [], [], [], []
+            docs, numbers, keys, words, counts, sizes_of = [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for number, own in enumerate(plain_words(text or "")):
                     raw = b" ".join(own)
@@ -81,6 +171,7 @@ def _occurrences(min_chars: int):
                     keys.append(xxhash.xxh3_128_digest(raw))
                     words.extend(own)
                     counts.append(len(own))
+                    sizes_of.append(len(raw.decode()))
             if not docs:
                 return None
             sizes = np.array(counts)
@@ -93,8 +184,8 @@ def _occurrences(min_chars: int):
                 lo = hi
             both = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
             return pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.concatenate(signs).view(np.int64))],
-                ["doc_id", "line", "h1", "h2", "sim"],
+                [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.concatenate(signs).view(np.int64)), pa.array(sizes_of, pa.int32())],
+                ["doc_id", "line", "h1", "h2", "sim", "size"],
             )
 
         return one
@@ -111,6 +202,7 @@ def _keys(masks: list[np.uint64], buckets: int):
             for i, mask in enumerate(masks):
                 key = (sims & mask) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(i)
                 key = (key ^ (key >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+                key = key & ~np.uint64(63) | np.uint64(i)  # the choice of blocks stays readable
                 records = np.empty(len(ids), dtype=_RECORD)
                 records["key"], records["id"] = key, ids
                 yield from packer.add((key >> np.uint64(40)) % np.uint64(buckets), records)
@@ -128,27 +220,35 @@ def _shared_keys(records: np.ndarray) -> pa.Table:
 def duplicate_lines(docs: DataFrame, percent: int = 80, min_chars: int = MIN_CHARS) -> DataFrame:
     """(doc_id, line): the line numbers to remove from each document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    seen = written(arrow_map(texts, _occurrences(min_chars), "doc_id long, line int, h1 long, h2 long, sim long"), "occurrences")
-    distinct = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("sim").alias("sim"), F.count("*").alias("n"))
-    distinct = written(distinct.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "sim", "n", "first.doc_id", "first.line"), "lines")
+    seen = written(arrow_map(texts, _occurrences(min_chars), "doc_id long, line int, h1 long, h2 long, sim long, size int"), "occurrences")
+    distinct = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("sim").alias("sim"), F.min("size").alias("size"), F.count("*").alias("n"))
+    distinct = written(distinct.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "sim", "size", "n", "first.doc_id", "first.line"), "lines")
     lines = distinct.count()
     masks = block_choices(blocks_for(lines))
     buckets = max(64, lines * len(masks) * _RECORD.itemsize // (24 << 20))
     posted = written(blobs.by_bucket(distinct.select("id", "sim").mapInArrow(_keys(masks, buckets), blobs.SCHEMA), _RECORD, _shared_keys, "key long, id long").withColumn("rank", F.lit(0)), "keys")
-    nodes = distinct.select("id", "sim", "doc_id", "line")
+    nodes = distinct.select("id", "sim", "size", "doc_id", "line")
 
     def candidate(x: str, y: str):
-        return F.bit_count(F.col(f"{x}.sim").bitwiseXOR(F.col(f"{y}.sim"))) <= DISTANCE
+        near = F.bit_count(F.col(f"{x}.sim").bitwiseXOR(F.col(f"{y}.sim"))) <= DISTANCE
+        return near & (F.lit(100) * F.least(f"{x}.size", f"{y}.size") >= F.lit(percent) * F.greatest(f"{x}.size", f"{y}.size"))
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
         at = nodes.join(wanted, "id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line", "id")).alias("at"))
         body = written(arrow_map(texts.join(at, "doc_id").select("text", F.col("at.line"), F.col("at.id")), _picked, "id long, body string"), "bodies")
         both = pairs.join(body.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(body.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
-        most = F.floor(F.lit(100 - percent) * F.greatest(F.length("x"), F.length("y")) / F.lit(100)).cast("int")
-        return both.withColumn("most", most).where("abs(length(x) - length(y)) <= most").where("levenshtein(x, y, most) >= 0").select("a", "b")
+        return arrow_map(both.select("a", "b", "x", "y"), _verified(percent), "a long, b long")
+
+    def first_key(key, x: str, y: str):
+        apart = F.col(f"{x}.sim").bitwiseXOR(F.col(f"{y}.sim"))
+        out = None
+        for n, mask in enumerate(masks):
+            same = apart.bitwiseAND(F.lit(int(mask.view(np.int64)))) == 0
+            out = F.when(same, n) if out is None else out.when(same, n)
+        return key.bitwiseAND(F.lit(63)) == out
 
-    grouped = link(nodes, posted, candidate, ["sim"], verify)
+    grouped = link(nodes, posted, candidate, ["sim", "size"], verify, first_key=first_key)
     labelled = distinct.join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
     doubtful = labelled.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("stays"), F.sum("n").alias("occurrences")).where("occurrences > 1")
     marked = labelled.join(doubtful, "component").select("h1", "h2", "stays")

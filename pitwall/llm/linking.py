@@ -48,7 +48,7 @@ def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
 
 
-def link(nodes: DataFrame, posted: DataFrame, candidate: Callable[[str, str], Column], carried: list[str], verify: Callable[[DataFrame], DataFrame], residual: Callable[[DataFrame], DataFrame] | None = None, hashed_pivots: int = 0) -> DataFrame:
+def link(nodes: DataFrame, posted: DataFrame, candidate: Callable[[str, str], Column], carried: list[str], verify: Callable[[DataFrame], DataFrame], residual: Callable[[DataFrame], DataFrame] | None = None, hashed_pivots: int = 0, first_key: Callable[[Column, str, str], Column] | None = None) -> DataFrame:
     """(id, component) for the nodes that have a link.
 
     ``nodes`` has id and the ``carried`` columns, from which ``candidate("x", "y")`` decides
@@ -58,6 +58,7 @@ def link(nodes: DataFrame, posted: DataFrame, candidate: Callable[[str, str], Co
     What is left after the pivots are nodes that meet a candidate of another component under a key. By
     default these candidates are all paired; ``residual`` gets instead (id, component) of
     the nodes that have one and returns pairs (a, b) that contain every link between components.
+    ``first_key(key, "x", "y")`` says whether no other key comes before ``key`` for this pair, so that it is made once.
     """
     hashed = [F.max_by("id", F.xxhash64("id", F.lit(s))).alias(f"p{s}") for s in range(hashed_pivots)]
     pivots = posted.groupBy("key").agg(F.max_by("id", F.struct("rank", "id")).alias("p"), *hashed, F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("lo", "hi")
@@ -78,7 +79,8 @@ def link(nodes: DataFrame, posted: DataFrame, candidate: Callable[[str, str], Co
         met = x.join(y, (x["key"] == y["key"]) & (F.col("x.component") != F.col("y.component")) & candidate("x", "y"), "left_semi")
         apart = residual(met.select("x.id", "x.component").distinct()).select(F.col("a").alias("id"), F.col("b").alias("pivot"))
     else:
-        apart = x.join(y, (x["key"] == y["key"]) & (F.col("x.component") < F.col("y.component")) & candidate("x", "y")).select(F.col("x.id").alias("id"), F.col("y.id").alias("pivot"))
+        once = candidate("x", "y") if first_key is None else candidate("x", "y") & first_key(x["key"], "x", "y")
+        apart = x.join(y, (x["key"] == y["key"]) & (F.col("x.component") < F.col("y.component")) & once).select(F.col("x.id").alias("id"), F.col("y.id").alias("pivot"))
     again = checkpointed(_pairs(apart, "id", "pivot").join(likely, ["a", "b"], "left_anti"))
     more = checkpointed(verify(again))
     if more.isEmpty():
