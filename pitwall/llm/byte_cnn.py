@@ -81,7 +81,7 @@ def _windows(net: Network, chunks: np.ndarray) -> np.ndarray:
 
 def pooled(net: Network, chunks: np.ndarray, block: int = 384) -> np.ndarray:
     """Each filter's maximum in each chunk."""
-    out = np.empty((len(chunks), FILTERS), dtype=np.float32)
+    out = np.empty((len(chunks), FILTERS), dtype=net.filters.dtype)
     for i in range(0, len(chunks), block):
         w = _windows(net, chunks[i : i + block])
         out[i : i + block] = (w.reshape(-1, WIDTH * EMBEDDED) @ net.filters).reshape(*w.shape[:2], FILTERS).max(axis=1)
@@ -90,7 +90,7 @@ def pooled(net: Network, chunks: np.ndarray, block: int = 384) -> np.ndarray:
 
 def combined(peaks: np.ndarray, counts: np.ndarray) -> np.ndarray:
     starts = np.cumsum(counts) - counts
-    return np.concatenate([np.maximum.reduceat(peaks, starts, axis=0), np.add.reduceat(peaks, starts, axis=0) / counts[:, None]], axis=1).astype(np.float32)
+    return np.concatenate([np.maximum.reduceat(peaks, starts, axis=0), np.add.reduceat(peaks, starts, axis=0) / counts[:, None]], axis=1).astype(peaks.dtype)
 
 
 def scores(net: Network, texts: list) -> np.ndarray:
@@ -110,11 +110,11 @@ def _gradients(net: Network, texts: list, labels: np.ndarray) -> list[np.ndarray
     x = combined(peaks, counts)
     h = np.tanh(x @ net.hidden + net.hidden_bias)
     p = 1 / (1 + np.exp(-(h @ net.out + net.out_bias[0])))
-    dz = ((p - labels) / len(texts)).astype(np.float32)
+    dz = ((p - labels) / len(texts)).astype(net.filters.dtype)
     dh = dz[:, None] * net.out * (1 - h * h)
     dx = dh @ net.hidden.T
     # The mean's share goes to all chunks, the maximum's to the first chunk that has it.
-    dpeak = dx[owner, FILTERS:] / counts[owner, None].astype(np.float32)
+    dpeak = dx[owner, FILTERS:] / counts[owner, None].astype(net.filters.dtype)
     top = peaks == x[owner, :FILTERS]
     rank = np.cumsum(top, axis=0)
     first = top & (rank - (rank[starts] - top[starts])[owner] == 1)
