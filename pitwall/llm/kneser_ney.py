@@ -10,7 +10,7 @@ Counting (order N, words as 64-bit hashes, N - 1 start marks before and one end
 * The same happens with continuation counts at each lower order, down to single words, where the occurrences are the plain word counts.
 
 Scoring maps the arrays of all buckets and looks up a batch's sorted hashes; a worker holds
-no more of the model than the pages it touches. In a store that cannot be mapped, a worker copies what it opens to its own folder and deletes it at its end.
+no more of the model than the pages it touches.
 
 Only counts of counts, totals and discounts come to the driver; the arrays grow with the corpus.
 
@@ -142,7 +142,7 @@ def _reduce(order: int, top: bool, folder: str, buckets: int):
         keys, at, (n, raw) = _summed(gram_hash(records["w"]), records["n"].astype(_U), raw)
         words = records["w"][at]
         number = int(bucket(keys[:1])[0])
-        _write(folder, f"grams{order}-{number}", keys, np.minimum(n, _U(0xFFFFFFFF)).astype("<u4"), *([np.minimum(raw, _U(0xFFFFFFFF)).astype("<u4")] if order == 1 else []))
+        _write(folder, f"grams{order}-{number}", keys, np.minimum(n, _U(0xFFFFFFFF)).astype("<u4"), *([raw] if order == 1 else []))
         ones = [(n == _U(k)).sum() for k in (1, 2, 3, 4)]
         out = [(0, 0, np.array([*ones, len(n), n.sum(), raw.sum()], dtype="<u8").tobytes())]
         if order > 1:
@@ -220,25 +220,39 @@ def train(texts: DataFrame, order: int = ORDER, buckets: int | None = None) -> M
 
 
 class Arrays:
-    """Memory-mapped sorted arrays of all buckets of one kind."""
+    """Sorted arrays of all buckets of one kind, mapped from the shared folder when first needed.
+
+    In a store that cannot be mapped a bucket is read as a whole, and only the last HELD ones are kept.
+    """
+
+    HELD = 16
 
     def __init__(self, model: Model, name: str, *dtypes: str):
         self.model, self.name, self.dtypes, self.open = model, name, dtypes, {}
         self.bucket = ranges(model.buckets)
 
     def _map(self, number: int):
-        if number not in self.open:
-            path = _local(self.model.folder, f"{self.name}-{number}")
-            if path is None:
-                self.open[number] = None
+        from pyarrow import fs
+
+        if number in self.open:
+            return self.open[number]
+        store, root = fs.FileSystem.from_uri(self.model.folder)
+        path, arrays = f"{root}/{self.name}-{number}", None
+        if store.get_file_info(path).type != fs.FileType.NotFound:
+            if isinstance(store, fs.LocalFileSystem):
+                raw = np.memmap(path, dtype=np.uint8, mode="r")
             else:
-                n = int(np.fromfile(path, dtype="<u8", count=1)[0])
-                at, arrays = 8, []
-                for dtype in ("<u8", *self.dtypes):
-                    arrays.append(np.memmap(path, dtype=dtype, mode="r", offset=at, shape=(n,)))
-                    at += n * np.dtype(dtype).itemsize
-                self.open[number] = arrays
-        return self.open[number]
+                with store.open_input_stream(path) as source:
+                    raw = np.frombuffer(source.read(), dtype=np.uint8)
+                if len(self.open) >= self.HELD:
+                    self.open.pop(next(iter(self.open)))
+            n, at, arrays = int(raw[:8].view("<u8")[0]), 8, []
+            for dtype in ("<u8", *self.dtypes):
+                size = n * np.dtype(dtype).itemsize
+                arrays.append(raw[at : at + size].view(dtype))
+                at += size
+        self.open[number] = arrays
+        return arrays
 
     def look_up(self, keys: np.ndarray) -> list[np.ndarray]:
         """The values of sorted ``keys``; 0 where a key is absent."""
@@ -255,32 +269,10 @@ class Arrays:
         return out
 
 
-def _local(folder: str, name: str) -> str | None:
-    """A path to map: the file itself, or this worker's copy of one in a store."""
-    import atexit
-    import os
-    import shutil
-    import tempfile
-
-    from pyarrow import fs
-
-    store, root = fs.FileSystem.from_uri(folder)
-    path = f"{root}/{name}"
-    if store.get_file_info(path).type == fs.FileType.NotFound:
-        return None
-    if isinstance(store, fs.LocalFileSystem):
-        return path
-    own = tempfile.mkdtemp(prefix="kneser-ney-")
-    atexit.register(shutil.rmtree, own, True)
-    with store.open_input_stream(path) as source, open(os.path.join(own, name), "wb") as out:
-        shutil.copyfileobj(source, out)
-    return os.path.join(own, name)
-
-
 class Scorer:
     def __init__(self, model: Model):
         self.model, self.known = model, WordHashes()
-        self.grams = {k: Arrays(model, f"grams{k}", "<u4", *(["<u4"] if k == 1 else [])) for k in range(1, model.order + 1)}
+        self.grams = {k: Arrays(model, f"grams{k}", "<u4", *(["<u8"] if k == 1 else [])) for k in range(1, model.order + 1)}
         self.contexts = {k: Arrays(model, f"contexts{k}", "<u8", "<u8", "<u8", "<u8") for k in range(2, model.order + 1)}
 
     def _values(self, arrays: Arrays, keys: np.ndarray) -> list[np.ndarray]:

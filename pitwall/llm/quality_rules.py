@@ -102,8 +102,7 @@ def repeated_words(words: Column) -> Column:
 def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
     """Add the base statistics (long); the text is made non-null."""
     body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    lines = F.filter(F.split(body, "\n", -1), lambda x: x.rlike(WORD))
-    columns = [c for c in docs.columns if c not in BASE and c not in (text, "words")]
+    columns = [c for c in docs.columns if c not in BASE and c not in (text, "text")]
     return (
         docs.select(*[F.col(f"`{c}`") for c in columns], body.alias("text"), F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("__words"))
         .select(

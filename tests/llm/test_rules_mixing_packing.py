@@ -54,7 +54,7 @@ def test_queries_equal_sql(spark, name):
 
 
 def test_fit_meets_the_targets_where_it_can():
-    cells = [("a", "en", "x", 600), ("a", "de", "y", 200), ("b", "en", "y", 100), ("b", "de", "x", 100)]
+    cells = [(s, lang, t, n) for (s, lang, t), n in zip(((s, lang, t) for s in "ab" for lang in ("en", "de") for t in "xy"), (300, 200, 150, 100, 80, 70, 60, 40), strict=True)]
     weights = mixing.fit_locally(cells, {"source": {"a": 0.6, "b": 0.4}, "lang": {"en": 0.7, "de": 0.3}, "topic": {"x": 0.5, "y": 0.5}}, 1.0, 0.4, rounds=200)
     assert all(w <= c[3] + 1e-9 for w, c in zip(weights, cells, strict=True))
     share = lambda k, v: sum(w for w, c in zip(weights, cells, strict=True) if c[k] == v) / sum(weights)
