@@ -31,6 +31,8 @@ from .minhash import WordHashes
 
 DISTANCE = 3
 MIN_CHARS = 24
+#: Line numbers to remove are broadcast up to this measured size, else joined by a shuffle.
+GONE_BROADCAST = 24 << 20
 #: Bytes of lower-cased UTF-8: digits become 0, other ASCII that is no letter a space; the line end stays.
 _PLAIN = bytes(b if b > 127 or b == 10 or chr(b).isalpha() else 48 if chr(b).isdigit() else 32 for b in range(256))
 _RECORD = np.dtype([("key", "<u8"), ("id", "<i8")])
@@ -45,11 +47,20 @@ def normalised(line: str) -> str:
     return b" ".join(plain_words(line)[0]).decode()
 
 
+#: Each bit of a byte in a byte of its own, so that a 64-bit sum counts eight bits at once.
+_SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
+_LANE = 255
+
+
 def simhashes(words: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.ndarray:
-    """SimHash of each run of word hashes: the sign of every bit's sum. No run is empty."""
-    bits = np.unpackbits(np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
+    """SimHash of each run of word hashes: the sign of every bit's sum. No run is empty, and runs follow each other."""
+    pieces = -(-counts // _LANE)  # a lane holds sums up to 255
+    first = np.cumsum(pieces) - pieces
+    within = np.arange(pieces.sum()) - np.repeat(first, pieces)
+    lanes = np.add.reduceat(_SPREAD[np.ascontiguousarray(words).view(np.uint8).reshape(-1, 8)], np.repeat(starts, pieces) + within * _LANE, axis=0)
+    ones = lanes.view(np.uint8).reshape(-1, 64)
+    ones = np.add.reduceat(ones, first, axis=0, dtype=np.int64) if len(ones) > len(counts) else ones
+    return np.packbits(2 * ones.astype(np.int64) > counts[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
 def block_choices(blocks: int) -> list[np.uint64]:
@@ -282,7 +293,9 @@ def _remaining():
 
 def deduplicate_lines(docs: DataFrame, percent: int = 80, min_chars: int = MIN_CHARS, removed_column: str | None = None) -> DataFrame:
     """The documents, in their columns, without the removed lines. ``removed_column`` adds their number."""
-    gone = duplicate_lines(docs, percent, min_chars).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("line").alias("__gone"))
+    gone = written(duplicate_lines(docs, percent, min_chars).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("line").alias("__gone")), "removed")
+    size = gone.agg(F.sum(F.size("__gone") * 4 + 32)).first()[0] or 0
+    gone = F.broadcast(gone) if size <= GONE_BROADCAST else gone
     rest = [c for c in docs.columns if c != "text"]
     joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("__doc"), "left").select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"), F.col("text").cast("string").alias("text"), "__gone", F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"))
     joined = joined.withColumn("n_removed", F.greatest("n_removed", F.lit(0)))

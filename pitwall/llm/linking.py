@@ -81,12 +81,24 @@ def link(nodes: DataFrame, posted: DataFrame, candidate: Callable[[str, str], Co
     else:
         once = candidate("x", "y") if first_key is None else candidate("x", "y") & first_key(x["key"], "x", "y")
         apart = x.join(y, (x["key"] == y["key"]) & (F.col("x.component") < F.col("y.component")) & once).select(F.col("x.id").alias("id"), F.col("y.id").alias("pivot"))
-    again = checkpointed(_pairs(apart, "id", "pivot").join(likely, ["a", "b"], "left_anti"))
-    more = checkpointed(verify(again))
-    if more.isEmpty():
-        return grouped
-    # A component's members point to its smallest id, so links between components complete the old stars.
-    return components(more.unionAll(grouped.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))))
+    todo = checkpointed(_pairs(apart, "id", "pivot").join(likely, ["a", "b"], "left_anti"))
+    # One success joins two components, so first one pair of each two components is compared, then the rest.
+    for last in (False, False, True):
+        if todo.isEmpty():
+            break
+        own = grouped.select("id", "component")
+        placed = (
+            todo.join(own.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(own.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
+            .select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
+        )
+        placed = checkpointed(placed)
+        picked = placed.select("a", "b") if last else checkpointed(placed.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
+        more = checkpointed(verify(picked))
+        todo = placed.select("a", "b").join(picked, ["a", "b"], "left_anti")
+        if not more.isEmpty():
+            # A component's members point to its smallest id, so links between components complete the old stars.
+            grouped = checkpointed(components(more.unionAll(grouped.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))))
+    return grouped
 
 
 def _pairs(df: DataFrame, one: str, other: str) -> DataFrame:
