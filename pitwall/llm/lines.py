@@ -25,14 +25,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import arrow_map, only, utf8_parts, written
+from .common import arrow_map, checkpointed, written
 from .linking import link
 from .minhash import WordHashes
 
 DISTANCE = 3
 MIN_CHARS = 24
-#: Line numbers to remove are broadcast up to this measured size, else joined by a shuffle.
-GONE_BROADCAST = 24 << 20
+#: Line numbers by document are broadcast up to this measured size, else joined by a shuffle.
+LINES_BROADCAST = 24 << 20
 #: Bytes of lower-cased UTF-8: digits become 0, other ASCII that is no letter a space; the line end stays.
 _PLAIN = bytes(b if b > 127 or b == 10 or chr(b).isalpha() else 48 if chr(b).isdigit() else 32 for b in range(256))
 _RECORD = np.dtype([("key", "<u8"), ("id", "<i8")])
@@ -170,8 +170,8 @@ def _occurrences(min_chars: int):
 
         known = WordHashes()
 
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            docs, numbers, keys, words, counts, sizes_of = [], [], [], [], [], []
+        def part(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            docs, numbers, keys, words, counts, lengths = [], [], [], [], [], []
             for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 for number, own in enumerate(plain_words(text or "")):
                     raw = b" ".join(own)
@@ -182,23 +182,22 @@ def _occurrences(min_chars: int):
                     keys.append(xxhash.xxh3_128_digest(raw))
                     words.extend(own)
                     counts.append(len(own))
-                    sizes_of.append(len(raw.decode()))
+                    lengths.append(len(raw.decode()))
             if not docs:
                 return None
             sizes = np.array(counts)
-            ends = np.cumsum(sizes)
-            hashes, signs, lo = known.of(words), [], 0
-            while lo < len(sizes):  # a bounded number of words at a time
-                hi = max(lo + 1, int(np.searchsorted(ends, (ends[lo - 1] if lo else 0) + 65_536)))
-                first = ends[lo] - sizes[lo]
-                signs.append(simhashes(hashes[first : ends[hi - 1]], (ends[lo:hi] - sizes[lo:hi]) - first, sizes[lo:hi]))
-                lo = hi
+            signs = simhashes(known.of(words), np.cumsum(sizes) - sizes, sizes)
             both = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
             return pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(np.concatenate(signs).view(np.int64)), pa.array(sizes_of, pa.int32())],
+                [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(signs.view(np.int64)), pa.array(lengths, pa.int32())],
                 ["doc_id", "line", "h1", "h2", "sim", "size"],
             )
 
+        def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            # Few documents at a time, as their words are held one by one.
+            parts = [p for lo in range(0, batch.num_rows, 128) if (p := part(batch.slice(lo, 128))) is not None]
+            return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
+
         return one
 
     return make
@@ -246,7 +245,8 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, min_chars: int = MIN_CHA
 
     def verify(pairs: DataFrame) -> DataFrame:
         wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-        at = nodes.join(wanted, "id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line", "id")).alias("at"))
+        at = checkpointed(nodes.join(wanted, "id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line", "id")).alias("at")))
+        at = _small(at, F.size("at") * 12)
         body = written(arrow_map(texts.join(at, "doc_id").select("text", F.col("at.line"), F.col("at.id")), _picked, "id long, body string"), "bodies")
         both = pairs.join(body.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(body.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
         return arrow_map(both.select("a", "b", "x", "y"), _verified(percent), "a long, b long")
@@ -266,6 +266,11 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, min_chars: int = MIN_CHA
     return seen.join(marked, ["h1", "h2"]).where(~((F.col("doc_id") == F.col("stays.doc_id")) & (F.col("line") == F.col("stays.line")))).select("doc_id", "line")
 
 
+def _small(df: DataFrame, size) -> DataFrame:
+    measured = df.agg(F.sum(size + 32)).first()[0] or 0
+    return F.broadcast(df) if measured <= LINES_BROADCAST else df
+
+
 def _picked():
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, bodies = [], []
@@ -294,8 +299,7 @@ def _remaining():
 def deduplicate_lines(docs: DataFrame, percent: int = 80, min_chars: int = MIN_CHARS, removed_column: str | None = None) -> DataFrame:
     """The documents, in their columns, without the removed lines. ``removed_column`` adds their number."""
     gone = written(duplicate_lines(docs, percent, min_chars).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("line").alias("__gone")), "removed")
-    size = gone.agg(F.sum(F.size("__gone") * 4 + 32)).first()[0] or 0
-    gone = F.broadcast(gone) if size <= GONE_BROADCAST else gone
+    gone = _small(gone, F.size("__gone") * 4)
     rest = [c for c in docs.columns if c != "text"]
     joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("__doc"), "left").select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"), F.col("text").cast("string").alias("text"), "__gone", F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"))
     joined = joined.withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
