@@ -149,12 +149,12 @@ def _hash(value: str) -> int:
 
 
 def features(root: Node):
-    """(path, children's styles, content) hashes of every node outside of articles and of what is never text."""
+    """(path, children's styles, content) hashes of every block with text; scripts and the like have none."""
     out = []
 
     def visit(node: Node, path: str) -> str:
         path = f"{path}>{node.style}"
-        parts = [visit(x, path) if isinstance(x, Node) else " ".join(x.split()) for x in node.items if not (isinstance(x, Node) and (x.never or x.tag in LANDMARKS))]
+        parts = [visit(x, path) if isinstance(x, Node) else " ".join(x.split()) for x in node.items if not (isinstance(x, Node) and x.tag in _RAW_END)]
         text = " ".join(p for p in parts if p)
         if text and node.parent is not None and node.tag in BLOCK:
             out.append((_hash(path), _hash("|".join(c.style for c in node.children)), _hash(text)))
