@@ -155,3 +155,27 @@ def test_lines_are_cut_out_and_columns_kept(spark):
     got = {r.doc_id: r for r in out.collect()}
     assert out.columns == [*docs.columns, "gone"] and got[1].text is None and got[6].text == "" and got[6].gone == 1 and got[5].gone == 0 and got[8].text == AWKWARD[7][1]
     assert lines.deduplicate_lines(nothing(spark)).count() == 0
+
+
+def varied_lines(spark):
+    """Short and long lines with up to a tenth of their words changed, and lines without spaces."""
+    r = random.Random(9)
+    rows = []
+    for doc in range(60):
+        words = ["".join(r.choice("abcdefghijklmnopqrst") for _ in range(r.randint(2, 9))) for _ in range(r.choice((10, 14, 20, 50)))]
+        for copy in range(2):
+            own = list(words)
+            for _ in range(copy * max(1, len(own) // 10)):
+                k = r.randrange(len(own))
+                own[k] = "".join(r.choice("uvwxyz") for _ in own[k])
+            rows.append((2 * doc + copy, ("" if doc < 15 else " ").join(own)))
+    return spark.createDataFrame(rows, "doc_id long, text string")
+
+
+def test_recall_against_edit_similarity_alone(spark):
+    docs = varied_lines(spark)
+    bodies = [(d, lines.normalised(t)) for d, t in sorted(texts(docs).items())]
+    want = {(b, 0) for (a, x), (b, y) in zip(bodies[::2], bodies[1::2], strict=True) if x != y and 100 * edits(x, y) <= 20 * max(len(x), len(y))}
+    got = {(r.doc_id, r.line) for r in lines.duplicate_lines(docs).collect()}
+    assert len(want) > 50 and got <= want and len(got) >= 0.9 * len(want)
+    assert any(" " not in bodies[d][1] for d, _ in got)
