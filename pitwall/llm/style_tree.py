@@ -7,8 +7,9 @@ pages, give the importance of its presentation and of its content. A branch that
 importance and is removed from each page. Hosts with fewer than MIN_PAGES pages say nothing about repetition.
 
 Two kinds of knowledge come before the entropies: elements that are never main text by their meaning (scripts,
-navigation, footers, forms, and names such as "ad" or "comments") have importance 0, and the
-page's article (or main element) is not judged by repetition, as copies of an article are no template.
+navigation, footers, forms, names such as "ad" or "comments", articles that are comments) have importance 0. All other
+branches are judged by the tree, inside and outside of articles and main elements. These are only a prior: where a page has no
+important one, a repeated one stays as it is, as copies of an article are no template.
 
 Only per-node sums are shuffled, pre-aggregated by each task; a hot host weighs no more than its number of
 different nodes and texts. The removed nodes of a host are joined by host, broadcast if measured to be small.
@@ -51,6 +52,8 @@ NAMES = re.compile(
 )
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 LANDMARKS = frozenset(("article", "main"))
+#: Class of an article that is a comment.
+COMMENT = re.compile(r"(?:^|\s)(?:user-?)?(?:comments?|repl(?:y|ies))(?:[_-]\w+)*(?:$|\s)", re.I)
 
 
 class Node:
@@ -72,6 +75,7 @@ def _style(tag: str, attributes: str) -> tuple[str, bool]:
         name, value = name.lower(), a or b or c
         if name in ("class", "id"):
             style += ("." if name == "class" else "#") + re.sub(r"\d+", "", value)
+            never = never or tag == "article" and name == "class" and bool(COMMENT.search(value))
             never = never or bool(NAMES.search(value)) and tag not in ("html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6")
         elif name == "role":
             never = never or value.lower() in ROLES
@@ -188,8 +192,11 @@ def _deep(visit, *arguments):
         threading.stack_size(0)
 
 
-def main_text(root: Node, low: frozenset | set) -> str:
-    """Blocks of what is left, white space collapsed, joined by line ends."""
+def main_text(root: Node, low: frozenset | set, only_landmarks: bool = True) -> str:
+    """Blocks of what is left, white space collapsed, joined by line ends.
+
+    ``only_landmarks`` takes nothing outside of the page's articles or main elements, if it has one; :func:`extract` judges the whole page.
+    """
     blocks: list[str] = []
     line: list[str] = []
 
@@ -200,25 +207,32 @@ def main_text(root: Node, low: frozenset | set) -> str:
                 blocks.append(text)
             line.clear()
 
-    def landmark(node: Node, found: list) -> None:
+    def landmark(node: Node, path: str, found: list) -> None:
+        """Gathers the outermost landmarks and the paths around them."""
+        path = f"{path}>{node.style}"
         for child in node.children:
             if child.tag in LANDMARKS and not child.never:
-                found.append(child)
+                found.append((child, path))
             elif not child.never:
-                landmark(child, found)
+                landmark(child, path, found)
 
     def write(node: Node, path: str, judged: bool) -> None:
         if node.never:
             return
         path = f"{path}>{node.style}"
-        judged = judged and node.tag not in LANDMARKS
-        if judged and low and node.parent is not None and _hash(path) in low:
+        judged = judged and node not in unjudged
+        gone = judged and low and node.parent is not None and _hash(path) in low
+        if gone and node not in around:
             return
         broken = node.tag in BLOCK
         if broken:
             end_block()
         for item in node.items:
-            if not isinstance(item, Node):
+            if gone:
+                # Of a repeated branch only the landmarks that stay are left.
+                if isinstance(item, Node) and (item in stays or item in around):
+                    write(item, path, judged)
+            elif not isinstance(item, Node):
                 line.append(item)
             elif item.tag == "br" or item.tag == "wbr":
                 line.append(" " if item.tag == "br" else "")
@@ -227,12 +241,23 @@ def main_text(root: Node, low: frozenset | set) -> str:
         if broken:
             end_block()
 
+    stays: set[Node] = set()
+    unjudged: set[Node] = set()
+    around: set[Node] = set()
+
     def run() -> None:
-        found: list[Node] = []
-        landmark(root, found)
-        if found:
-            for node in found:
-                write(node, "", False)
+        found: list[tuple[Node, str]] = []
+        landmark(root, "", found)
+        repeated = [node for node, path in found if low and _hash(f"{path}>{node.style}") in low]
+        if len(repeated) == len(found):
+            unjudged.update(repeated)
+        stays.update(unjudged or {node for node, _ in found}.difference(repeated))
+        for node in stays:
+            while node.parent is not None and node.parent not in around:
+                around.add(node := node.parent)
+        if found and only_landmarks:
+            for node, path in found:
+                write(node, path, True)
                 end_block()
         else:
             write(root, "", True)
@@ -283,7 +308,7 @@ def node_importance(pages: DataFrame) -> DataFrame:
 
 def _extracted():
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        texts = [main_text(parse(html), frozenset(low or ())) if html else "" for html, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
+        texts = [main_text(parse(html), frozenset(low or ()), False) if html else "" for html, low in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True)]
         return pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
     return one

@@ -204,3 +204,17 @@ def test_importance_follows_entropy(spark):
     named = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", style_tree.host())
     found = sorted(r.content for r in style_tree.node_importance(named).collect())
     assert found[0] == 0.0 and abs(found[-1] - 1.0) < 1e-9
+
+
+def test_tree_judges_inside_and_outside_of_articles(spark):
+    inside = "<article><h1>Title {i}</h1><div class='box'>Follow our channel</div><p>Body {i} here</p></article><article class='comment'><p>Nice {i}</p></article>"
+    outside = "<div class='story'>Main text {i} outside</div><article class='card'><p>Our best offer</p></article>"
+    rows = [(i, f"http://in.example/{i}", f"<body>{inside.format(i=i)}</body>") for i in range(8)]
+    rows += [(100 + i, f"http://out.example/{i}", f"<body>{outside.format(i=i)}</body>") for i in range(8)]
+    rows += [(200 + i, f"http://mixed.example/{i}", f"<body><div class='story'>Main {i}</div><article class='card'><p>Teaser {i}</p></article></body>") for i in range(8)]
+    rows += [(300, "http://one.example/", "<body><div>Main text</div><article>Teaser</article></body>")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in style_tree.extract(pages).collect()}
+    assert all(got[i] == f"Title {i}\nBody {i} here" for i in range(8))
+    assert all(f"Main text {i} outside" in got[100 + i] for i in range(8))
+    assert all(got[200 + i] == f"Main {i}\nTeaser {i}" for i in range(8)) and got[300] == "Main text\nTeaser"
