@@ -13,9 +13,9 @@ LENGTH bytes matter, and whether they tie, so ranks are fingerprints of fixed de
    are sorted to full depth, again one bucket at a time, so memory is bounded by a segment or a bucket.
 5. A segment's ties come back as bits in the order in which it sent its suffixes; spans are formed and cut out there.
 
-A fingerprint has 32 bits beside the bucket for the sample (a false tie only makes a candidate) and
-``key_bytes`` (48 bits) beside the bucket for full depth; buckets grow with the input. On 1 GB less than 0.1
-wrong ties are expected; take key_bytes = 8 beyond 100 GB.
+A fingerprint has 32 bits beside the bucket for the sample (a false tie only makes a candidate). For full depth
+it has ``key_bytes`` (96 bits) beside the bucket: 48 of one polynomial, the others of a second with
+its own letters. No byte is compared; with a tenth of the positions as candidates, less than 1e-8 wrong ties are expected on 100 GB.
 
 Defined results: a null or empty text has no bytes; texts shorter than LENGTH lose nothing; matches
 never cross documents but may overlap inside one; an empty table gives an empty table; extra columns are ignored.
@@ -30,7 +30,6 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import blobs
 from .common import BROADCAST_KEYS, arrow_map, checkpointed, utf8_parts, written
 from .minhash import mixed
 
@@ -43,6 +42,11 @@ BITS_BROADCAST = 64 << 20
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _LETTERS = mixed(np.arange(1, 257, dtype=_U) * _U(0xD1B54A32D192ED03))
+#: Of the second fingerprint.
+_LETTERS2 = mixed(np.arange(1, 257, dtype=_U) * _U(0xE7037ED1A0B428DB))
+KEY_BYTES = 12
+#: Bytes of the first fingerprint that say something beside the bucket.
+_FIRST_BYTES = 6
 
 
 class Fingerprints:
@@ -51,13 +55,15 @@ class Fingerprints:
     def __init__(self):
         self.powers = self.inverses = np.zeros(0, dtype=_U)
 
-    def of(self, body: np.ndarray) -> Fingerprints:
+    def of(self, body: np.ndarray, letters: np.ndarray = _LETTERS) -> Fingerprints:
         n = len(body)
         if len(self.powers) < n:
             self.powers = np.cumprod(np.full(n, _BASE, dtype=_U))
             self.inverses = np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), dtype=_U))
         self.sums = np.zeros(n + 1, dtype=_U)
-        np.cumsum(_LETTERS[body] * self.powers[:n], out=self.sums[1:])
+        terms = letters[body]
+        terms *= self.powers[:n]
+        np.cumsum(terms, out=self.sums[1:])
         return self
 
     def at(self, positions: np.ndarray, width: int) -> np.ndarray:
@@ -104,8 +110,8 @@ class Segment:
         self.buckets, self.length, self.prints = buckets, length, prints.of(self.body)
         self.depth = length - PERIOD + 1
         self.starts = np.cumsum(self.lengths) - self.lengths
-        self.local = np.arange(len(self.body)) - np.repeat(self.starts, self.lengths)
-        self.left = np.repeat(self.lengths, self.lengths) - self.local
+        self.local = np.arange(len(self.body), dtype=np.int32) - np.repeat(self.starts.astype(np.int32), self.lengths)
+        self.left = np.repeat(self.lengths.astype(np.int32), self.lengths) - self.local
 
     def _dealt(self, positions: np.ndarray, width: int):
         keys = self.prints.at(positions, width)
@@ -123,10 +129,10 @@ class Segment:
         positions, _, bucket = self.sample()
         tied = positions[gathered(bucket, sample_bits)]
         # i is a candidate if a tied sample lies in [i, i + PERIOD): mark the PERIOD positions up to each one.
-        marks = np.zeros(len(self.body) + 1, dtype=np.int64)
+        marks = np.zeros(len(self.body) + 1, dtype=np.int32)
         np.add.at(marks, np.maximum(tied - PERIOD + 1, self.starts_of(tied)), 1)
         np.add.at(marks, tied + 1, -1)
-        return self._dealt(np.flatnonzero((np.cumsum(marks[:-1]) > 0) & (self.left >= self.length)), self.length)
+        return self._dealt(np.flatnonzero((np.cumsum(marks[:-1], dtype=np.int32) > 0) & (self.left >= self.length)), self.length)
 
     def starts_of(self, positions: np.ndarray) -> np.ndarray:
         return positions - self.local[positions]
@@ -137,7 +143,16 @@ class Segment:
         marks = np.zeros(len(self.body) + 1, dtype=np.int32)
         marks[again] += 1
         np.subtract.at(marks, again + self.length, 1)
-        return np.cumsum(marks[:-1]) > 0
+        return np.cumsum(marks[:-1], dtype=np.int32) > 0
+
+
+def _bytes(keys: np.ndarray, most: int) -> np.ndarray:
+    return np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :most]
+
+
+def full_keys(keys: np.ndarray, second: np.ndarray, key_bytes: int) -> np.ndarray:
+    """(suffixes, key_bytes) bytes of both fingerprints, 14 at most."""
+    return np.concatenate([_bytes(keys, _FIRST_BYTES), _bytes(second, 8)], axis=1)[:, :key_bytes]
 
 
 def gathered(bucket: np.ndarray, bits: dict) -> np.ndarray:
@@ -158,13 +173,12 @@ def _sent(buckets: int, length: int, key_bytes: int, full: bool):
             for row in batch.to_pylist():
                 segment = Segment(row["lengths"], row["body"], prints, buckets, length)
                 if full:
-                    _, keys, bucket = segment.candidates({x["bucket"]: x["bits"] for x in row["sample_bits"] or ()})
+                    positions, keys, bucket = segment.candidates({x["bucket"]: x["bits"] for x in row["sample_bits"] or ()})
                 else:
                     _, keys, bucket = segment.sample()
                 if not len(keys):
                     continue
-                width = key_bytes if full else 4
-                raw = np.ascontiguousarray(keys).view(np.uint8).reshape(-1, 8)[:, :width]
+                raw = full_keys(keys, prints.of(segment.body, _LETTERS2).at(positions, length), key_bytes) if full else _bytes(keys, 4)
                 cuts = np.concatenate([[0], np.flatnonzero(np.diff(bucket)) + 1, [len(bucket)]])
                 packed = [np.ascontiguousarray(raw[i:j]).tobytes() for i, j in zip(cuts, cuts[1:], strict=False)]
                 yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([row["segment"]] * len(packed), pa.int64()), pa.array(packed, pa.binary())], ["bucket", "segment", "packed"])
@@ -178,12 +192,16 @@ def _ties(width: int):
     def reduce(rows: pa.Table) -> pa.Table:
         packed = rows.column("packed").to_pylist()
         raw = np.frombuffer(b"".join(packed), np.uint8).reshape(-1, width)
-        keys = np.zeros((len(raw), 8), np.uint8)
+        words = -(-width // 8)
+        keys = np.zeros((len(raw), 8 * words), np.uint8)
         keys[:, :width] = raw
-        keys = keys.view("<u8").reshape(-1)
-        order = np.argsort(keys, kind="stable")
+        keys = keys.view("<u8")
+        order = np.lexsort(keys.T) if words > 1 else np.argsort(keys[:, 0], kind="stable")
+        keys = keys[order]
+        same = (keys[1:] == keys[:-1]).all(axis=1)
         tied = np.zeros(len(keys), dtype=bool)
-        tied[order] = blobs.repeats(keys[order])
+        tied[order[1:]] = same
+        tied[order[:-1]] |= same
         ends = np.cumsum([len(p) // width for p in packed])
         out = [(s, b, np.packbits(tied[i:j]).tobytes()) for s, b, i, j in zip(rows.column("segment").to_pylist(), rows.column("bucket").to_pylist(), [0, *ends[:-1]], ends, strict=True) if tied[i:j].any()]
         columns = list(zip(*out, strict=True)) or [(), (), ()]
@@ -219,7 +237,7 @@ def _cut_out(buckets: int, length: int):
     return run
 
 
-def repeated_substrings(docs: DataFrame, length: int = LENGTH, key_bytes: int = 6) -> DataFrame:
+def repeated_substrings(docs: DataFrame, length: int = LENGTH, key_bytes: int = KEY_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every document."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     info = written(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2(F.col("text"), 256)).alias("sha")), "texts")

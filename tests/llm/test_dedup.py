@@ -179,3 +179,22 @@ def test_recall_against_edit_similarity_alone(spark):
     got = {(r.doc_id, r.line) for r in lines.duplicate_lines(docs).collect()}
     assert len(want) > 50 and got <= want and len(got) >= 0.9 * len(want)
     assert any(" " not in bodies[d][1] for d, _ in got)
+
+
+def test_suffixes_do_not_tie_by_half_a_fingerprint():
+    import inspect
+
+    import pyarrow as pa
+
+    assert inspect.signature(suffix_dedup.repeated_substrings).parameters["key_bytes"].default >= 12
+    r = np.random.default_rng(5)
+    body = r.integers(0, 256, 2000, dtype=np.uint8)
+    body[1000:1300] = body[:300]
+    at = np.arange(len(body) - 199)
+    second = suffix_dedup.Fingerprints().of(body, suffix_dedup._LETTERS2).at(at, 200)
+    for first in (np.zeros(len(at), dtype=np.uint64), suffix_dedup.Fingerprints().of(body).at(at, 200)):
+        raw = suffix_dedup.full_keys(first, second, 12)
+        rows = pa.table({"segment": [7], "bucket": pa.array([0], pa.int32()), "packed": pa.array([raw.tobytes()], pa.binary())})
+        out = suffix_dedup._ties(12)(rows).to_pylist()
+        tied = np.flatnonzero(np.unpackbits(np.frombuffer(out[0]["bits"], np.uint8), count=len(at)))
+        assert tied.tolist() == [*range(101), *range(1000, 1101)]
