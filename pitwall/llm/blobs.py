@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Records that a map task gathers before it packs them.
-FLUSH_BYTES = 24 << 20
+FLUSH_BYTES = 12 << 20
 SCHEMA = "bucket int, packed binary"
 
 

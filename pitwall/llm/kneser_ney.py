@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from . import blobs
 from .common import arrow_map, scratch_path, utf8_parts, written
-from .minhash import WordHashes, mixed, words_of
+from .words import TextWords, mixed
 
 ORDER = 2
 _U = np.uint64
@@ -71,11 +71,10 @@ def ranges(buckets: int):
     return lambda keys: (keys >> shift).astype(np.int32)
 
 
-def token_hashes(known: WordHashes, text, order: int) -> np.ndarray:
-    words = words_of(text)
+def token_hashes(words: np.ndarray, order: int) -> np.ndarray:
     out = np.empty(len(words) + order, dtype=_U)
     out[: order - 1] = START
-    out[order - 1 : -1] = known.of(words)
+    out[order - 1 : -1] = words
     out[-1] = END
     return out
 
@@ -86,23 +85,23 @@ def grams_of(tokens: np.ndarray, order: int) -> np.ndarray:
 
 def _count(order: int, buckets: int):
     def run(batches):
-        known, packer, bucket = WordHashes(), blobs.Packer(buckets), ranges(buckets)
+        words, packer, bucket = TextWords(), blobs.Packer(buckets), ranges(buckets)
         held, size = [], 0
 
         def counted():
-            words = np.concatenate(held)
-            keys, at, (n,) = _summed(gram_hash(words), np.ones(len(words), dtype=_U))
+            grams = np.concatenate(held)
+            keys, at, (n,) = _summed(gram_hash(grams), np.ones(len(grams), dtype=_U))
             # A count takes one byte; a larger one is spread over several records.
             copies = ((n + _U(254)) // _U(255)).astype(np.int64)
             records = np.empty(int(copies.sum()), dtype=_packed(order))
-            records["w"], records["n"] = np.repeat(words[at], copies, axis=0), 255
+            records["w"], records["n"] = np.repeat(grams[at], copies, axis=0), 255
             records["n"][np.cumsum(copies) - 1] = n - (copies.astype(_U) - _U(1)) * _U(255)
             return np.repeat(bucket(keys), copies), records
 
         for batch in batches:
             data, at = utf8_parts(batch.column(0))
-            for a, b in zip(at[:-1], at[1:], strict=True):
-                grams = grams_of(token_hashes(known, data[a:b], order), order)
+            for _, hashes in words.each(data, at):
+                grams = grams_of(token_hashes(hashes, order), order)
                 held.append(grams)
                 size += len(grams)
                 if size >= GATHERED:
@@ -271,7 +270,7 @@ class Arrays:
 
 class Scorer:
     def __init__(self, model: Model):
-        self.model, self.known = model, WordHashes()
+        self.model, self.words = model, TextWords()
         self.grams = {k: Arrays(model, f"grams{k}", "<u4", *(["<u8"] if k == 1 else [])) for k in range(1, model.order + 1)}
         self.contexts = {k: Arrays(model, f"contexts{k}", "<u8", "<u8", "<u8", "<u8") for k in range(2, model.order + 1)}
 
@@ -327,8 +326,8 @@ def _score(model: Model, most: int = 400_000):
                 owners.clear()
 
             size = 0
-            for i in range(n):
-                held.append(grams_of(token_hashes(scorer.known, data[at[i] : at[i + 1]], model.order), model.order))
+            for i, hashes in scorer.words.each(data, at):
+                held.append(grams_of(token_hashes(hashes, model.order), model.order))
                 owners.append(i)
                 size += len(held[-1])
                 if size >= most:

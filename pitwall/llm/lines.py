@@ -1,19 +1,19 @@
 """Fuzzy line deduplication: MinHash bands, SimHash, edit similarity, connected groups.
 
 1. Lines are normalised (lower case, digits to 0, ASCII punctuation and white space to single spaces).
-   Lines of fewer than ``min_chars`` bytes then
-   are never removed: short lines recur in clean text.
+   A line without a word is no line and stays.
 2. Equal normalised lines collapse; each distinct line gets a 64-bit SimHash and a MinHash signature of its
    tokens: its words, of words longer than LONG_WORD bytes all pieces of PIECE bytes, so that text without spaces has tokens too.
-3. Lines are joined on each band of the signature. A band is equal with a probability of J ** rows at a Jaccard
-   similarity J of the tokens; the rows follow the input's size, and the bands the rows, so that pairs by chance stay few.
-4. Pairs within DISTANCE bits (wide enough for edit similarity 80%) and of a possible length are verified by edit similarity
+3. Lines are joined on each of BANDS blocks of ROWS signature rows; two lines share a block with the probability
+   1 - (1 - J ** ROWS) ** BANDS at a Jaccard similarity J of the tokens: 0.96 at 2/3, where a fifth of the words is replaced.
+   (Blocks of the SimHash itself find pairs only within a few bits, which a fifth of changed words far exceeds.)
+4. Pairs within DISTANCE bits, with AGREE equal signature rows of four bits each (both wide enough for edit similarity 80%), and of a possible length are verified by edit similarity
    (100 * distance <= (100 - percent) * longer length): common ends are cut, bounds decide most pairs, an exact bit-parallel distance the others.
 5. Of each connected group of lines one occurrence stays: the first by (doc_id, line number).
 
-Defined results: a null or empty text has no lines to remove and stays as it is; a line
-that repeats inside one document counts like any other; an empty table gives an empty
-table; doc_id is unique; extra columns pass through :func:`deduplicate_lines` untouched.
+Defined results: a null or empty text has no lines to remove and stays as it is, like a text without a doc_id; a line
+that repeats inside one document counts like any other; lines of fewer than ``min_chars`` bytes (default 0: none) are left alone; an
+empty table gives an empty table; doc_id is unique; other columns, whatever their names, pass through :func:`deduplicate_lines` untouched.
 """
 
 from __future__ import annotations
@@ -22,22 +22,35 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import blobs
-from .common import arrow_map, checkpointed, written
+from .common import BROADCAST_KEYS, arrow_map, discard, documents_of, isolated, restored, written
 from .linking import link
-from .minhash import WordHashes, mixed
+from .words import borders, mixed, run_hashes
 
+BANDS, ROWS = 14, 4
 #: SimHash bits: 5,150 of 5,156 pairs at edit similarity 80% on sf0.1 lie within.
 DISTANCE = 24
 LONG_WORD = 12
 PIECE = 6
-MIN_CHARS = 24
 #: Line numbers by document are broadcast up to this measured size, else joined by a shuffle.
 LINES_BROADCAST = 24 << 20
+#: Texts are cut into lines in groups of about so many bytes.
+GROUP_BYTES = 1 << 20
 #: Bytes of lower-cased UTF-8: digits become 0, other ASCII that is no letter a space; the line end stays.
 _PLAIN = bytes(b if b > 127 or b == 10 or chr(b).isalpha() else 48 if chr(b).isdigit() else 32 for b in range(256))
-_RECORD = np.dtype([("key", "<u8"), ("id", "<i8")])
+_BLANK = np.zeros(256, dtype=bool)
+_BLANK[[0, 10, 32]] = True
+#: Of the BANDS * ROWS signature rows, cut to four bits: at J = 0.6 35 +- 4 agree, at J = 0.1 9 +- 3. Of pairs at edit similarity 80% in check
+#: tables 99% had 36 or more.
+AGREE = 26
+#: A line under a block: first only its name, then, where a block is shared, what the cheap test needs. Lengths count up to LONGEST.
+_NAMED = np.dtype([("key", "<u4"), ("spread", "<u2"), ("id", "<i8")])
+_LINE = np.dtype([("key", "<u8"), ("id", "<i8"), ("sim", "<u8"), ("size", "<u2"), ("sketch", "u1", (BANDS * ROWS // 2,))])
+LONGEST = 65_535
+#: Bytes stored of a block's key: 4 for grouping, 2 for its bucket.
+_KEY = 6
 
 
 def plain_words(text: str) -> list[list[bytes]]:
@@ -65,33 +78,26 @@ def simhashes(words: np.ndarray, starts: np.ndarray, counts: np.ndarray) -> np.n
     return np.packbits(2 * ones.astype(np.int64) > counts[:, None], axis=1, bitorder="little").view("<u8").reshape(-1)
 
 
-def tokens(words: list[bytes]) -> list[bytes]:
-    """The words, those longer than LONG_WORD bytes as all their pieces of PIECE bytes."""
-    if max(map(len, words), default=0) <= LONG_WORD:
-        return words
-    out: list[bytes] = []
-    for word in words:
-        out += [word] if len(word) <= LONG_WORD else [word[k : k + PIECE] for k in range(len(word) - PIECE + 1)]
-    return out
-
-
-def bands_for(size: int) -> tuple[int, int]:
-    """(bands, rows of each) for so many bytes: chance pairs grow with the square of the lines and fall with the rows."""
-    rows = 5 if size < 1 << 30 else 6 if size < 10 << 30 else 7 if size < 100 << 30 else 8
-    return 2 * rows + 2, rows
-
-
-def band_keys(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> np.ndarray:
-    """(lines, bands) keys: equal where all rows' smallest permuted token hashes are equal. No run is empty, and runs follow each other."""
+def band_keys(hashes: np.ndarray, starts: np.ndarray, bands: int, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """(lines, bands) keys, equal where all rows' smallest permuted token hashes are equal, and those rows' last four bits, two a byte. No run is empty, and runs follow each other."""
     short = (mixed(hashes) >> np.uint64(32)).astype(np.uint32)
     factors = (mixed(np.arange(1, bands * rows + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
-    out = np.empty((len(starts), bands), dtype=np.uint64)
+    out, sketch = np.empty((len(starts), bands), dtype=np.uint64), np.zeros((len(starts), bands * rows // 2), dtype=np.uint8)
     for band in range(bands):
         key = np.full(len(starts), band + 1, dtype=np.uint64)
-        for factor in factors[band * rows : (band + 1) * rows]:
-            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + np.minimum.reduceat(short * factor, starts))
+        for row in range(band * rows, (band + 1) * rows):
+            least = np.minimum.reduceat(short * factors[row], starts)
+            key = mixed(key * np.uint64(0x9E3779B97F4A7C15) + least)
+            # The smallest values have few leading bits set, so the last ones tell them apart.
+            sketch[:, row // 2] |= ((least & np.uint32(15)) << np.uint32(4 * (row % 2))).astype(np.uint8)
         out[:, band] = key
-    return out
+    return out, sketch
+
+
+def agreeing(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Number of equal four-bit rows in two sketches."""
+    differ = x ^ y
+    return np.count_nonzero((differ & 15) == 0, axis=-1) + np.count_nonzero(differ < 16, axis=-1)
 
 
 def _least_distance(x: str, y: str) -> int:
@@ -183,102 +189,254 @@ def _verified(percent: int):
     return make
 
 
-def _occurrences(min_chars: int, bands: int, rows: int):
-    def make():
-        import xxhash
+class Lines:
+    """Normalised lines of many texts as arrays: hash, size, tokens, SimHash and block keys, without a step for each word."""
 
-        known = WordHashes()
+    def __init__(self, bands: int = BANDS, rows: int = ROWS, min_chars: int = 0):
+        self.bands, self.rows, self.min_chars = bands, rows, min_chars
+        self.seen: set = set()
 
-        def part(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            docs, numbers, keys, words, counts, lengths = [], [], [], [], [], []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                for number, own in enumerate(plain_words(text or "")):
-                    raw = b" ".join(own)
-                    if len(raw) < min_chars:
-                        continue
-                    docs.append(doc)
-                    numbers.append(number)
-                    keys.append(xxhash.xxh3_128_digest(raw))
-                    own = tokens(own)
-                    words.extend(own)
-                    counts.append(len(own))
-                    lengths.append(len(raw.decode()))
-            if not docs:
-                return None
-            sizes = np.array(counts)
-            hashes, starts = known.of(words), np.cumsum(sizes) - sizes
-            signs = simhashes(hashes, starts, sizes)
-            banded = band_keys(hashes, starts, bands, rows)
-            both = np.frombuffer(b"".join(keys), dtype="<i8").reshape(-1, 2)
+    def of(self, texts: list[str]) -> dict:
+        """Arrays over the lines: text (its number), line, hash (two words), size; and of those not seen before new, sim, keys."""
+        import xxhash
+
+        body = np.frombuffer(b"\0".join(t.lower().encode().translate(_PLAIN) for t in texts), dtype=np.uint8)
+        starts, ends = borders(body, _BLANK)
+        breaks = np.flatnonzero((body == 0) | (body == 10))
+        ending = body[breaks] == 0
+        line_of = np.searchsorted(breaks, starts)
+        first = np.flatnonzero(np.concatenate([[True], line_of[1:] != line_of[:-1]])) if len(starts) else np.zeros(0, np.int64)
+        last = np.append(first[1:], len(starts)) - 1 if len(first) else first
+        number = line_of[first] if len(first) else first
+        text_of = np.concatenate([[0], np.cumsum(ending)])[number]
+        first_line = np.concatenate([[0], np.flatnonzero(ending) + 1])[text_of]
+        # Words and one space between two of a line, one line after the other.
+        keep = ~_BLANK[body]
+        follows = line_of[1:] == line_of[:-1]
+        keep[ends[:-1][follows]] = True
+        plain = body[keep]  # blanks inside of lines are spaces already
+        ends_at = np.cumsum(ends - starts + np.append(follows, False)) if len(starts) else ends
+        lo, hi = (np.concatenate([[0], ends_at[last[:-1]]]), ends_at[last]) if len(first) else (first, first)
+        raw = plain.tobytes()
+        big = np.flatnonzero(hi - lo >= self.min_chars)
+        lo, hi, first, last, number, text_of, first_line = (x[big] for x in (lo, hi, first, last, number, text_of, first_line))
+        digests = [xxhash.xxh3_128_digest(raw[a:b]) for a, b in zip(lo.tolist(), hi.tolist(), strict=True)]
+        inside = np.append((plain & 0xC0) != 0x80, False)
+        sizes = np.add.reduceat(inside, np.stack([lo, hi], axis=1).reshape(-1), dtype=np.int64)[::2] if len(lo) else lo
+        if len(self.seen) > 250_000:
+            self.seen.clear()
+        new = np.zeros(len(digests), dtype=bool)
+        for k, digest in enumerate(digests):
+            if digest not in self.seen:
+                self.seen.add(digest)
+                new[k] = True
+        hashes, token_starts, counts = self._tokens(body, starts, ends, first[new], last[new])
+        sim, keys, sketch = np.zeros(0, np.uint64), np.zeros((0, self.bands), np.uint64), np.zeros((0, self.bands * self.rows // 2), np.uint8)
+        if len(counts):
+            sim, (keys, sketch) = simhashes(hashes, token_starts, counts), band_keys(hashes, token_starts, self.bands, self.rows)
+        return {
+            "text": text_of, "line": number - first_line, "hash": np.frombuffer(b"".join(digests), dtype="<i8").reshape(-1, 2), "size": sizes, "new": new,
+            "sim": sim, "keys": keys, "sketch": sketch,
+        }
+
+    def _tokens(self, body, starts, ends, first, last) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hashes of the tokens of lines given by their first and last words, and each line's first token and number of tokens."""
+        words = last - first + 1
+        word = np.repeat(first, words) + np.arange(words.sum()) - np.repeat(np.cumsum(words) - words, words)
+        size = ends[word] - starts[word]
+        pieces = np.where(size <= LONG_WORD, 1, size - PIECE + 1)
+        within = np.arange(pieces.sum()) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+        hashes = run_hashes(body, np.repeat(starts[word], pieces) + within, np.repeat(np.where(size <= LONG_WORD, size, PIECE), pieces))
+        counts = np.add.reduceat(pieces, np.cumsum(words) - words) if len(words) else pieces
+        return hashes, np.cumsum(counts) - counts, counts
+
+
+def _binary(rows: np.ndarray) -> pa.Array:
+    """A binary value for each row of bytes."""
+    n, width = rows.shape
+    return pa.Array.from_buffers(pa.binary(), n, [None, pa.py_buffer(np.arange(0, width * n + 1, width, dtype=np.int32)), pa.py_buffer(np.ascontiguousarray(rows))])
+
+
+def _bytes(column: pa.Array, width: int) -> np.ndarray:
+    """The rows of bytes of a binary column without nulls."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype=np.uint8).reshape(-1, width)
+
+
+def _occurrences(min_chars: int):
+    def make():
+        lines = Lines(min_chars=min_chars)
+
+        def part(ids: list, texts: list[str]) -> pa.RecordBatch:
+            found = lines.of(texts)
+            spots = np.full(len(found["new"]), -1)
+            spots[found["new"]] = np.arange(len(found["sim"]))
+            index = pa.array(spots, mask=spots < 0)
+            keys = found["keys"].view(np.uint8).reshape(len(found["keys"]), -1, 8)[:, :, :_KEY].reshape(len(found["keys"]), -1)
             return pa.RecordBatch.from_arrays(
-                [pa.array(docs, pa.int64()), pa.array(numbers, pa.int32()), pa.array(both[:, 0].copy()), pa.array(both[:, 1].copy()), pa.array(signs.view(np.int64)), pa.array(lengths, pa.int32()), pa.array([k.tobytes() for k in banded], pa.binary())],
-                ["doc_id", "line", "h1", "h2", "sim", "size", "keys"],
-            )
+                [
+                    pa.array(np.array(ids, dtype=np.int64)[found["text"]]), pa.array(found["line"].astype(np.int32)), pa.array(found["hash"][:, 0].copy()), pa.array(found["hash"][:, 1].copy()),
+                    pa.array(found["size"].astype(np.int32)), pa.array(found["sim"].view(np.int64)).take(index), _binary(keys).take(index), _binary(found["sketch"]).take(index),
+                ],
+                ["doc_id", "line", "h1", "h2", "size", "sim", "keys", "sketch"],
+            )
+
+        def run(batch: pa.RecordBatch) -> pa.RecordBatch | None:
+            parts, ids, texts, size = [], [], [], 0
+            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if not text:
+                    continue
+                ids.append(doc)
+                texts.append(text)
+                size += len(text)
+                if size >= GROUP_BYTES:
+                    parts.append(part(ids, texts))
+                    ids, texts, size = [], [], 0
+            if texts:
+                parts.append(part(ids, texts))
+            return pa.Table.from_batches(parts).combine_chunks().to_batches(max_chunksize=1 << 30)[0] if any(p.num_rows for p in parts) else None
+
+        return run
+
+    return make
 
-        def one(batch: pa.RecordBatch) -> pa.RecordBatch | None:
-            # Few documents at a time, as their words are held one by one.
-            parts = [p for lo in range(0, batch.num_rows, 128) if (p := part(batch.slice(lo, 128))) is not None]
-            return pa.Table.from_batches(parts).combine_chunks().to_batches()[0] if parts else None
 
-        return one
+#: An occurrence, or several of one line: the first place and the number.
+_PLACE = np.dtype([("h1", "<i8"), ("h2", "<i8"), ("doc", "<i8"), ("line", "<i4"), ("n", "<u4")])
 
-    return make
+
+def _gathered(records: np.ndarray) -> np.ndarray:
+    """One record for each line: its first place by (doc_id, line) and the sum of the numbers."""
+    records = records[np.lexsort((records["line"], records["doc"], records["h2"], records["h1"]))]
+    new = np.ones(len(records), dtype=bool)
+    new[1:] = (records["h1"][1:] != records["h1"][:-1]) | (records["h2"][1:] != records["h2"][:-1])
+    first = np.flatnonzero(new)
+    out = records[first].copy()
+    if len(first):
+        out["n"] = np.minimum(np.add.reduceat(records["n"].astype(np.uint64), first), 0xFFFFFFFF)
+    return out
+
+
+def _places(buckets: int, most: int = 500_000):
+    """Occurrences by bucket of the line's hash; a task adds up its own first, so that a common line weighs one record a task."""
+
+    def run(batches):
+        packer, held, size = blobs.Packer(buckets), [], 0
+        for batch in batches:
+            records = np.ones(batch.num_rows, dtype=_PLACE)
+            for name, column in zip(("h1", "h2", "doc", "line"), batch.columns, strict=True):
+                records[name] = column.to_numpy()
+            held.append(records)
+            size += len(records)
+            if size >= most:
+                records = _gathered(np.concatenate(held))
+                yield from packer.add((mixed(np.ascontiguousarray(records["h1"]).view(np.uint64)) % np.uint64(buckets)).astype(np.int32), records)
+                held, size = [], 0
+        if held:
+            records = _gathered(np.concatenate(held))
+            yield from packer.add((mixed(np.ascontiguousarray(records["h1"]).view(np.uint64)) % np.uint64(buckets)).astype(np.int32), records)
+        yield from packer.flush()
+
+    return run
+
+
+def _firsts(records: np.ndarray) -> pa.Table:
+    found = _gathered(records)
+    return pa.table({"h1": pa.array(found["h1"].copy()), "h2": pa.array(found["h2"].copy()), "n": pa.array(found["n"].astype(np.int64)), "doc_id": pa.array(found["doc"].copy()), "line": pa.array(found["line"].copy())})
 
 
-def _keys(bands: int, buckets: int):
+def _dealt(bands: int, buckets: int):
+    """Distinct lines of a task under each block, packed by bucket."""
+
     def run(batches):
         packer = blobs.Packer(buckets)
         for batch in batches:
-            ids, first = np.unique(batch.column(0).to_numpy(), return_index=True)  # a common line once
-            keys = np.frombuffer(b"".join(batch.column(1).take(pa.array(first)).to_pylist()), dtype="<u8").reshape(-1, bands)
+            n = batch.num_rows
+            raw = _bytes(batch.column(1), bands * _KEY).reshape(n, bands, _KEY)
+            keys = np.ascontiguousarray(raw[:, :, :4]).view("<u4").reshape(n, bands)
+            spread = np.ascontiguousarray(raw[:, :, 4:]).view("<u2").reshape(n, bands)
             for band in range(bands):
-                records = np.empty(len(ids), dtype=_RECORD)
-                records["key"], records["id"] = keys[:, band], ids
-                yield from packer.add((keys[:, band] >> np.uint64(40)) % np.uint64(buckets), records)
+                records = np.empty(n, dtype=_NAMED)
+                records["key"], records["spread"], records["id"] = keys[:, band], spread[:, band], batch.column(0).to_numpy()
+                yield from packer.add(spread[:, band].astype(np.int64) * buckets >> 16, records)
         yield from packer.flush()
 
     return run
 
 
-def _shared_keys(records: np.ndarray) -> pa.Table:
-    records = records[np.lexsort((records["id"], records["key"]))]
-    new = np.ones(len(records), dtype=bool)
-    new[1:] = records[1:] != records[:-1]
-    records = records[new]
-    records = records[blobs.repeats(records["key"])]
-    return pa.table({"key": np.ascontiguousarray(records["key"]).view(np.int64), "h1": np.ascontiguousarray(records["id"])})
-
-
-def duplicate_lines(docs: DataFrame, percent: int = 80, min_chars: int = MIN_CHARS) -> DataFrame:
-    """(doc_id, line): the line numbers to remove from each document."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    bands, rows = bands_for(texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
-    seen = written(arrow_map(texts, _occurrences(min_chars, bands, rows), "doc_id long, line int, h1 long, h2 long, sim long, size int, keys binary"), "occurrences")
-    distinct = seen.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "line")).alias("first"), F.min("sim").alias("sim"), F.min("size").alias("size"), F.count("*").alias("n"))
-    distinct = written(distinct.select(F.monotonically_increasing_id().alias("id"), "h1", "h2", "sim", "size", "n", "first.doc_id", "first.line"), "lines")
-    buckets = max(64, distinct.count() * bands * _RECORD.itemsize // (24 << 20))
-    shared = blobs.by_bucket(seen.select("h1", "keys").mapInArrow(_keys(bands, buckets), blobs.SCHEMA), _RECORD, _shared_keys, "key long, h1 long")
-    # Half of a line's hash only leads to it: lines that agree in this half are compared like any others.
-    posted = written(shared.join(distinct.select("h1", "id"), "h1").select("key", "id", F.lit(0).alias("rank")), "keys")
-    nodes = distinct.select("id", "sim", "size", "doc_id", "line")
-
-    def candidate(x: str, y: str):
-        near = F.bit_count(F.col(f"{x}.sim").bitwiseXOR(F.col(f"{y}.sim"))) <= DISTANCE
-        return near & (F.lit(100) * F.least(f"{x}.size", f"{y}.size") >= F.lit(percent) * F.greatest(f"{x}.size", f"{y}.size"))
+def _shared(records: np.ndarray) -> pa.Table:
+    """Blocks of two lines or more."""
+    key = records["spread"].astype(np.int64) << 32 | records["key"]
+    order = np.lexsort((records["id"], key))
+    key, own = key[order], records["id"][order]
+    new = np.ones(len(key), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+    key, own = key[new], own[new]
+    several = blobs.repeats(key)
+    return pa.table({"key": key[several], "id": own[several]})
+
+
+def _posted(buckets: int):
+    """Lines under shared blocks, with what the cheap test needs, packed by bucket."""
+
+    def run(batches):
+        packer = blobs.Packer(buckets)
+        for batch in batches:
+            records = np.empty(batch.num_rows, dtype=_LINE)
+            records["key"], records["id"] = batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy()
+            records["sim"], records["size"] = batch.column(2).to_numpy().view(np.uint64), np.minimum(batch.column(3).to_numpy(), LONGEST)
+            records["sketch"] = _bytes(batch.column(4), BANDS * ROWS // 2)
+            yield from packer.add((mixed(records["key"]) % np.uint64(buckets)).astype(np.int32), records)
+        yield from packer.flush()
+
+    return run
+
+
+def _near(percent: int):
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        small, big = np.minimum(x["size"], y["size"]).astype(np.int64), np.maximum(x["size"], y["size"]).astype(np.int64)
+        fits = (np.bitwise_count(x["sim"] ^ y["sim"]) <= DISTANCE) & ((100 * small >= percent * big) | (big == LONGEST))
+        return fits & (agreeing(x["sketch"], y["sketch"]) >= AGREE)
+
+    return near
+
+
+def duplicate_lines(docs: DataFrame, percent: int = 80, min_chars: int = 0) -> DataFrame:
+    """(doc_id, line): the line numbers to remove from each document, written; ``discard`` deletes it."""
+    texts = documents_of(docs).where("doc_id IS NOT NULL")
+    seen = written(arrow_map(texts, _occurrences(min_chars), "doc_id long, line int, h1 long, h2 long, size int, sim long, keys binary, sketch binary"), "occurrences", "zstd")
+    buckets = max(32, (seen.count() * _PLACE.itemsize) // (12 << 20))
+    lines = written(blobs.by_bucket(seen.select("h1", "h2", "doc_id", "line").mapInArrow(_places(buckets), blobs.SCHEMA), _PLACE, _firsts, "h1 long, h2 long, n long, doc_id long, line int"), "lines")
+    buckets = max(32, lines.count() * BANDS * _NAMED.itemsize // (12 << 20))
+    # Half of a line's hash names it here: lines that agree in this half are compared like any others.
+    told = seen.where("keys IS NOT NULL")
+    shared = written(blobs.by_bucket(told.select("h1", "keys").mapInArrow(_dealt(BANDS, buckets), blobs.SCHEMA), _NAMED, _shared, "key long, id long"), "shared")
+    meeting = shared.count()
+    posted = shared.join(told.select(F.col("h1").alias("id"), "sim", "size", "sketch"), "id").select("key", "id", "sim", "size", "sketch")
+    buckets = max(32, meeting * _LINE.itemsize // (12 << 20))
+    packed = posted.mapInArrow(_posted(buckets), blobs.SCHEMA)
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("id")).unionAll(pairs.select(F.col("b").alias("id"))).distinct()
-        at = checkpointed(nodes.join(wanted, "id", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line", "id")).alias("at")))
-        at = _small(at, F.size("at") * 12)
-        body = written(arrow_map(texts.join(at, "doc_id").select("text", F.col("at.line"), F.col("at.id")), _picked, "id long, body string"), "bodies")
+        wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
+        at = written(lines.join(wanted, "h1", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line", F.col("h1").alias("id"))).alias("at")), "wanted")
+        body = written(arrow_map(texts.join(_small(at, F.size("at") * 12), "doc_id").select("text", F.col("at.line"), F.col("at.id")), _picked, "id long, body string"), "bodies", "zstd")
         both = pairs.join(body.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(body.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
-        return arrow_map(both.select("a", "b", "x", "y"), _verified(percent), "a long, b long")
-
-    grouped = link(nodes, posted, candidate, ["sim", "size"], verify)
-    labelled = distinct.join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    doubtful = labelled.where("component IS NOT NULL").groupBy("component").agg(F.min(F.struct("doc_id", "line")).alias("stays"), F.sum("n").alias("occurrences")).where("occurrences > 1")
-    marked = labelled.join(doubtful, "component").select("h1", "h2", "stays")
-    return seen.join(marked, ["h1", "h2"]).where(~((F.col("doc_id") == F.col("stays.doc_id")) & (F.col("line") == F.col("stays.line")))).select("doc_id", "line")
+        links = written(arrow_map(both.select("a", "b", "x", "y"), _verified(percent), "a long, b long"), "links")
+        discard(at, body)
+        return links
+
+    grouped = link(packed, _LINE, _near(percent), verify, buckets)
+    few = grouped.count() <= BROADCAST_KEYS
+    light = F.broadcast if few else lambda df: df
+    own = lines.join(light(grouped.withColumnRenamed("id", "h1")), "h1", "left")
+    placed = own.select("h1", "h2", "component", "n", F.struct("doc_id", "line").alias("stays"))
+    stays = placed.where("component IS NOT NULL").groupBy("component").agg(F.min("stays").alias("stays"))
+    linked = placed.where("component IS NOT NULL").drop("stays").join(light(stays), "component").select("h1", "h2", "stays")
+    marked = written(linked.unionAll(placed.where("component IS NULL AND n > 1").select("h1", "h2", "stays")), "marked")
+    marked_few = F.broadcast(marked) if marked.count() <= BROADCAST_KEYS // 2 else marked
+    gone = seen.select("doc_id", "line", "h1", "h2").join(marked_few, ["h1", "h2"]).where((F.col("doc_id") != F.col("stays.doc_id")) | (F.col("line") != F.col("stays.line"))).select("doc_id", "line")
+    out = written(gone, "gone")
+    discard(seen, lines, shared, grouped, marked)
+    return out
 
 
 def _small(df: DataFrame, size) -> DataFrame:
@@ -290,9 +448,9 @@ def _picked():
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         ids, bodies = [], []
         for text, numbers, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            lines = (text or "").lower().encode().translate(_PLAIN).split(b"\n")
+            lines = (text or "").split("\n")
             ids += own
-            bodies += [b" ".join(lines[n].split()).decode() for n in numbers]
+            bodies += [normalised(lines[n]) for n in numbers]
         return pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(bodies, pa.string())], ["id", "body"])
 
     return one
@@ -302,26 +460,24 @@ def _remaining():
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
         out = []
         for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if gone:
+            if gone and text is not None:
                 gone = set(gone)
                 text = "\n".join(line for n, line in enumerate(text.split("\n")) if n not in gone)
             out.append(text)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(3)], ["__row", "text", "n_removed"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(3)], ["row", "text", "n_removed"])
 
     return one
 
 
-def deduplicate_lines(docs: DataFrame, percent: int = 80, min_chars: int = MIN_CHARS, removed_column: str | None = None) -> DataFrame:
+def deduplicate_lines(docs: DataFrame, percent: int = 80, min_chars: int = 0, removed_column: str | None = None) -> DataFrame:
     """The documents, in their columns, without the removed lines. ``removed_column`` adds their number."""
-    gone = written(duplicate_lines(docs, percent, min_chars).groupBy(F.col("doc_id").alias("__doc")).agg(F.collect_list("line").alias("__gone")), "removed")
-    gone = _small(gone, F.size("__gone") * 4)
-    rest = [c for c in docs.columns if c != "text"]
-    joined = docs.join(gone, F.col("doc_id").cast("long") == F.col("__doc"), "left").select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("__row"), F.col("text").cast("string").alias("text"), "__gone", F.coalesce(F.size("__gone"), F.lit(0)).alias("n_removed"))
-    joined = joined.withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
-    row = joined.schema["__row"].dataType.simpleString()
-    cleaned = arrow_map(joined, _remaining, f"__row {row}, text string, n_removed int")
-    columns = [F.col("text") if c == "text" else F.col("__row")[c].alias(c) for c in docs.columns]
-    return cleaned.select(*columns, *([F.col("n_removed").cast("long").alias(removed_column)] if removed_column else []))
+    found = duplicate_lines(docs, percent, min_chars)
+    gone = written(found.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "removed")
+    discard(found)
+    own = isolated(docs, doc_id="doc_id", text="text").select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    joined = own.join(_small(gone, F.size("gone") * 4), "doc_id", "left").select("row", "text", "gone", F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_removed"))
+    cleaned = arrow_map(joined, _remaining, StructType([joined.schema["row"], StructField("text", StringType()), StructField("n_removed", LongType())]))
+    return restored(cleaned, docs, {"text": F.col("text")}, {removed_column: F.col("n_removed")} if removed_column else None)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -1,103 +1,298 @@
 """Linking of near copies without all pairs, and connected components.
 
-Blocking gives every node some keys; nodes under one key are candidates. A key of a
-large group of near copies has very many nodes, so :func:`link` does not pair them
-all. It first compares each node with a few pivots of its keys, which joins most of
-a group into one component. What is left are pairs under a key that lie in
-different components; these are compared exhaustively. Pairs inside a component
-need no comparison, as they cannot change it. The result is exact for components.
+Blocking gives every node some keys; nodes under one key are candidates of each other. A key of a
+large group of near copies has very many nodes, so :func:`link` does not pair them all:
+
+1. The task of a bucket of keys pairs the nodes of a small group (up to SMALL) that pass a cheap test. In
+   a larger one the node with the smallest id leads: nodes that pass the test with it are paired with it only; those
+   that fail get the next leader, and so on, so that a group yields at most one pair a node.
+2. Distinct pairs are verified; links give components.
+3. What can still be missing are links between different components under one key of a large group. Such groups come back
+   with the components of their nodes, pairs across that pass the test are verified (first one pair for each two
+   components, as one success joins them; then what is left). Inside a component no pair needs a look.
+
+The components are exact for the given keys and test.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import Column, DataFrame
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checkpointed
+from . import blobs
+from .common import BROADCAST_KEYS, discard, written
 
+#: Groups up to this size are paired whole.
+SMALL = 8
+#: Edges that one task joins at most (32 MB); more are joined in rounds of all tasks.
+EDGES_IN_TASK = 2_000_000
+#: Nodes of a group compared with as many others at once.
+BLOCK = 512
 
 
-def components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(id, component): the smallest id reachable, for ids with an edge. ``edges`` has a and b.
+# ------------------------------------------------------------------------------------------------- components
 
-    Alternates large-star and small-star steps until no edge changes; every round is
-    checkpointed, so that lineage stays short and a lost executor costs one round.
-    """
 
-    def star(both: DataFrame) -> DataFrame:
-        """Attach the smallest neighbour, itself included, to every (u, v)."""
-        least = both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m"))
-        return both.join(least, "u")
-
-    now = checkpointed(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct())
-    for _ in range(most_rounds):
-        both = now.unionAll(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = star(both).where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
-        joined = star(large)
-        small = joined.select("v", "m").unionAll(joined.select(F.col("u").alias("v"), "m")).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        after = checkpointed(small)
-        digest = lambda df: df.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        done = digest(after) == digest(now)
+def roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges and the smallest node each can reach, by hooking and pointer jumping."""
+    ids, flat = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = flat[: len(a)], flat[len(a) :]
+    parent = np.arange(len(ids))
+    while True:
+        px, py = parent[x], parent[y]
+        open_ = px != py
+        if not open_.any():
+            return ids, ids[parent]
+        x, y, px, py = x[open_], y[open_], px[open_], py[open_]
+        np.minimum.at(parent, np.maximum(px, py), np.minimum(px, py))
+        while True:
+            up = parent[parent]
+            if (up == parent).all():
+                break
+            parent = up
+
+
+def _contracted(everything: bool):
+    """Edges of a task as a forest of stars; ``everything``: of all its batches, else of blocks of them."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+        def stars():
+            ids, least = roots(a, b)
+            moved = ids != least
+            return ids[moved], least[moved]
+
+        for batch in batches:
+            a, b = np.concatenate([a, batch.column(0).to_numpy()]), np.concatenate([b, batch.column(1).to_numpy()])
+            if len(a) > EDGES_IN_TASK and not everything:
+                a, b = stars()
+                if len(a) > EDGES_IN_TASK // 2:
+                    yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+                    a, b = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        a, b = stars()
+        yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+
+    return run
+
+
+def components(edges: DataFrame, in_task: int = EDGES_IN_TASK) -> DataFrame:
+    """(id, component): the smallest id reachable, for ids with an edge to another. ``edges`` has a and b.
+
+    Each task first joins its own edges, which leaves a forest. As long as that is larger than ``in_task``,
+    large-star and small-star steps alternate with this; then one task of bounded size ends it.
+    """
+    pairs = edges.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b")
+    now = written(pairs.mapInArrow(_contracted(False), "a long, b long"), "edges")
+    before = None
+    while (left := now.count()) > in_task:
+        both = now.unionAll(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        large = both.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
+        up = large.groupBy("a").agg(F.min("b").alias("m"))
+        small = large.join(up, "a").select("b", "m").where("b <> m").select(F.greatest("b", "m").alias("a"), F.least("b", "m").alias("b")).unionAll(up.select("a", F.col("m").alias("b"))).distinct()
+        after = written(small.mapInArrow(_contracted(False), "a long, b long").distinct(), "edges")
+        digest = (left, *after.agg(F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+        discard(now)
         now = after
-        if done:
+        if digest == before:  # stars only: nothing changes any more
             break
+        before = digest
     else:
-        raise RuntimeError("components did not settle")
-    return now.select(F.col("u").alias("id"), F.col("v").alias("component")).unionAll(now.select(F.col("v").alias("id"), F.col("v").alias("component")).distinct())
+        stars = written(now.coalesce(1).mapInArrow(_contracted(True), "a long, b long"), "stars")
+        discard(now)
+        now = stars
+    out = now.select(F.col("a").alias("id"), F.col("b").alias("component")).unionAll(now.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    out._scratch = now._scratch
+    return out
+
+
+# ---------------------------------------------------------------------------------------------------- linking
+
+
+def _grouped(records: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Records by (key, id) without repetitions, the start of each key's group and its size."""
+    order = np.lexsort((records["id"], records["key"]))
+    key, own = records["key"][order], records["id"][order]
+    new = np.ones(len(order), dtype=bool)
+    new[1:] = (key[1:] != key[:-1]) | (own[1:] != own[:-1])
+    records = records[order[new]]
+    starts = np.flatnonzero(np.concatenate([[True], records["key"][1:] != records["key"][:-1]])) if len(records) else np.zeros(0, np.int64)
+    return records, starts, np.diff(np.append(starts, len(records)))
+
+
+_PAIRS = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("packed", pa.binary())])
+
+
+def _first_pairs(near):
+    """Pairs of a bucket, and its large groups packed in a last row."""
+
+    def reduce(records: np.ndarray) -> pa.Table:
+        records, starts, sizes = _grouped(records)
+        a, b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for size in range(2, SMALL + 1):
+            at = starts[sizes == size]
+            for i in range(size - 1 if len(at) else 0):
+                for j in range(i + 1, size):
+                    x, y = records[at + i], records[at + j]
+                    ok = near(x, y)
+                    a.append(x["id"][ok])
+                    b.append(y["id"][ok])
+        kept = []
+        for start, size in zip(starts[sizes > SMALL].tolist(), sizes[sizes > SMALL].tolist(), strict=True):
+            own = records[start : start + size]
+            if size <= BLOCK:
+                meet = np.triu(near(own[:, None], own[None, :]), 1)
+                edges = int(np.count_nonzero(meet))
+                if not edges:
+                    continue
+            free, found = np.arange(size), 0
+            while len(free) > 1:  # sorted by id: the first leads
+                ok = meet[free[0], free[1:]] if size <= BLOCK else near(own[free[:1]], own[free[1:]])
+                if ok.any():
+                    a.append(np.broadcast_to(own["id"][free[0]], int(ok.sum())))
+                    b.append(own["id"][free[1:][ok]])
+                    found += int(ok.sum())
+                free = free[1:][~ok]
+                if size <= BLOCK and found < edges and len(free) > 32:
+                    free = free[meet[free][:, free].any(axis=1) | meet[free][:, free].any(axis=0)]
+            if size > BLOCK or found < edges:
+                kept.append(own)
+        x, y = _distinct(np.concatenate(a), np.concatenate(b))
+        out = [pa.table([pa.array(x), pa.array(y), pa.nulls(len(x), pa.binary())], schema=_PAIRS)]
+        if kept:
+            out.append(pa.table([pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([np.concatenate(kept).tobytes()], pa.binary())], schema=_PAIRS))
+        return pa.concat_tables(out)
+
+    return reduce
 
 
-def link(nodes: DataFrame, posted: DataFrame, candidate: Callable[[str, str], Column], carried: list[str], verify: Callable[[DataFrame], DataFrame], residual: Callable[[DataFrame], DataFrame] | None = None, hashed_pivots: int = 0) -> DataFrame:
+def _distinct(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.lexsort((y, x))
+    x, y = x[order], y[order]
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = (x[1:] != x[:-1]) | (y[1:] != y[:-1])
+    return x[new], y[new]
+
+
+def _unpacked_rows(dtype: np.dtype, buckets: int):
+    """Records of large groups as rows: bucket, id and the record."""
+    width = dtype.itemsize
+
+    def run(batches):
+        for batch in batches:
+            for raw in batch.column(0):
+                records = np.frombuffer(raw.as_buffer(), dtype=dtype)
+                for lo in range(0, len(records), 1 << 16):
+                    part = records[lo : lo + (1 << 16)]
+                    bodies = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(np.arange(0, width * (len(part) + 1), width, dtype=np.int32)), pa.py_buffer(part.tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array((part["key"].astype(np.uint64) % np.uint64(buckets)).astype(np.int32)), pa.array(part["id"]), bodies], ["bucket", "id", "record"])
+
+    return run
+
+
+def _crossings(rows: pa.Table, dtype: np.dtype, near) -> Iterator[np.ndarray]:
+    """(a, b, component of a, component of b) of nodes of different components under one key that pass the test, in blocks."""
+    records = blobs.unpacked(rows.column("record"), dtype)
+    component = rows.column("component").to_numpy()
+    order = np.lexsort((records["id"], component, records["key"]))
+    records, component = records[order], component[order]
+    starts = np.flatnonzero(np.concatenate([[True], records["key"][1:] != records["key"][:-1]])) if len(records) else np.zeros(0, np.int64)
+    for i, j in zip(starts, np.append(starts[1:], len(records)), strict=False):
+        own, of = records[i:j], component[i:j]
+        if of[0] == of[-1]:
+            continue
+        for lo in range(0, len(own), BLOCK):
+            for hi in range(lo, len(own), BLOCK):
+                x, y = own[lo : lo + BLOCK], own[hi : hi + BLOCK]
+                cx, cy = of[lo : lo + BLOCK], of[hi : hi + BLOCK]
+                if cx[0] != cy[-1]:
+                    p, q = np.nonzero((cx[:, None] < cy[None, :]) & near(x[:, None], y[None, :]))
+                    yield np.stack([x["id"][p], y["id"][q], cx[p], cy[q]])
+
+
+def _across(dtype: np.dtype, near, once: bool):
+    """Pairs across components; ``once``: one for each two components of a block."""
+
+    def reduce(rows: pa.Table) -> pa.Table:
+        out = [np.zeros((4, 0), np.int64)]
+        for found in _crossings(rows, dtype, near):
+            out.append(found[:, np.unique(found[2:], axis=1, return_index=True)[1]] if once and found.shape[1] else found)
+        found = np.concatenate(out, axis=1)
+        return pa.table({"a": np.minimum(found[0], found[1]), "b": np.maximum(found[0], found[1]), "ca": found[2], "cb": found[3]})
+
+    return reduce
+
+
+def _meeting(dtype: np.dtype, near):
+    """The nodes that have such a pair, with their components."""
+
+    def reduce(rows: pa.Table) -> pa.Table:
+        met: dict[int, int] = {}
+        for a, b, ca, cb in _crossings(rows, dtype, near):
+            met.update(zip(a.tolist(), ca.tolist(), strict=True))
+            met.update(zip(b.tolist(), cb.tolist(), strict=True))
+        return pa.table({"id": pa.array(met.keys(), pa.int64()), "component": pa.array(met.values(), pa.int64())})
+
+    return reduce
+
+
+def link(packed: DataFrame, dtype: np.dtype, near: Callable[[np.ndarray, np.ndarray], np.ndarray], verify: Callable[[DataFrame], DataFrame], buckets: int, residual: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """(id, component) for the nodes that have a link.
 
-    ``nodes`` has id and the ``carried`` columns, from which ``candidate("x", "y")`` decides
-    cheaply whether the nodes aliased x and y may be linked. ``posted`` has id, key and rank, which
-    orders nodes as pivots. ``verify`` gets distinct pairs (a < b) and returns those that are links.
-    A key's pivots are its most central node and ``hashed_pivots`` more, each the largest under a hash of its own.
-    What is left after the pivots are nodes that meet a candidate of another component under a key. By
-    default these candidates are all paired; ``residual`` gets instead (id, component) of
-    the nodes that have one and returns pairs (a, b) that contain every link between components.
+    ``packed`` has records of ``dtype`` (key, id and what ``near`` needs) by bucket of the key, see :mod:`blobs`. ``near`` is
+    the cheap test on arrays of records, symmetric. ``verify`` gets distinct pairs (a < b) and returns those that are links, written.
+    ``residual`` may replace the last step: it gets (id, component) of the nodes that pass the test with
+    one of another component under a key, and returns pairs (a, b) that contain every link between these components.
     """
-    hashed = [F.max_by("id", F.xxhash64("id", F.lit(s))).alias(f"p{s}") for s in range(hashed_pivots)]
-    pivots = posted.groupBy("key").agg(F.max_by("id", F.struct("rank", "id")).alias("p"), *hashed, F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").drop("lo", "hi")
-    rays = posted.select("id", "key").join(pivots, "key").select("id", F.explode(F.array_distinct(F.array("p", *[f"p{s}" for s in range(hashed_pivots)]))).alias("pivot"))
-    pairs = _pairs(rays.where("id <> pivot"), "id", "pivot")
-    info = nodes.select("id", *carried)
-    likely = pairs.join(info.select(F.struct("*").alias("x")), F.col("a") == F.col("x.id")).join(info.select(F.struct("*").alias("y")), F.col("b") == F.col("y.id")).where(candidate("x", "y")).select("a", "b")
-    likely = checkpointed(likely)
-    first = checkpointed(verify(likely))
-    grouped = checkpointed(components(first))
-
-    spread = posted.select("id", "key").join(grouped, "id", "left").withColumn("component", F.coalesce("component", "id"))
-    mixed = spread.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-    rest = spread.join(mixed, "key").join(info, "id")
-    x = rest.select("key", F.struct("id", "component", *carried).alias("x"))
-    y = rest.select("key", F.struct("id", "component", *carried).alias("y"))
+    dtype = np.dtype(dtype)
+    first = written(blobs.by_bucket(packed, dtype, _first_pairs(near), "a long, b long, packed binary"), "matches")
+    tried = written(first.where("packed IS NULL").select("a", "b").distinct(), "pairs")
+    links = verify(tried)
+    grouped = components(links)
+    discard(links)
+
+    def large() -> DataFrame:
+        """The nodes of large groups with their components."""
+        rows = first.where("packed IS NOT NULL").select("packed").mapInArrow(_unpacked_rows(dtype, buckets), "bucket int, id long, record binary")
+        few = F.broadcast(grouped) if grouped.count() <= BROADCAST_KEYS else grouped
+        return rows.join(few, "id", "left").select("bucket", "record", F.coalesce("component", "id").alias("component"))
+
+    def across(once: bool) -> DataFrame:
+        return large().groupBy("bucket").applyInArrow(_across(dtype, near, once), "a long, b long, ca long, cb long")
+
+    def joined(more: DataFrame) -> DataFrame:
+        """Components after more links: a component's members point to its smallest id."""
+        after = components(more.select("a", "b").unionAll(grouped.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        discard(grouped, more)
+        return after
+
     if residual is not None:
-        met = x.join(y, (x["key"] == y["key"]) & (F.col("x.component") != F.col("y.component")) & candidate("x", "y"), "left_semi")
-        apart = residual(met.select("x.id", "x.component").distinct()).select(F.col("a").alias("id"), F.col("b").alias("pivot"))
+        members = large().groupBy("bucket").applyInArrow(_meeting(dtype, near), "id long, component long").distinct()
+        todo = written(residual(members).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+        if not todo.isEmpty():
+            grouped = joined(verify(todo))
+        discard(todo)
     else:
-        apart = x.join(y, (x["key"] == y["key"]) & (F.col("x.component") < F.col("y.component")) & candidate("x", "y")).select(F.col("x.id").alias("id"), F.col("y.id").alias("pivot"))
-    todo = checkpointed(_pairs(apart, "id", "pivot").join(likely, ["a", "b"], "left_anti"))
-    # One success joins two components, so first one pair of each two components is compared, then the rest.
-    for last in (False, False, True):
-        if todo.isEmpty():
-            break
-        own = grouped.select("id", "component")
-        placed = (
-            todo.join(own.select(F.col("id").alias("a"), F.col("component").alias("ca")), "a", "left").join(own.select(F.col("id").alias("b"), F.col("component").alias("cb")), "b", "left")
-            .select("a", "b", F.coalesce("ca", "a").alias("ca"), F.coalesce("cb", "b").alias("cb")).where("ca <> cb")
-        )
-        placed = checkpointed(placed)
-        picked = placed.select("a", "b") if last else checkpointed(placed.groupBy(F.least("ca", "cb").alias("ca"), F.greatest("ca", "cb").alias("cb")).agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b"))
-        more = checkpointed(verify(picked))
-        todo = placed.select("a", "b").join(picked, ["a", "b"], "left_anti")
-        if not more.isEmpty():
-            # A component's members point to its smallest id, so links between components complete the old stars.
-            grouped = checkpointed(components(more.unionAll(grouped.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))))
+        for once in (True, False):
+            met = across(once)
+            if once:
+                met = met.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
+            todo = written(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
+            if todo.isEmpty():
+                discard(todo)
+                if once:
+                    continue
+                break
+            more = verify(todo)
+            if once:
+                tried = tried.unionAll(todo)
+            if not more.isEmpty():
+                grouped = joined(more)
+            if not once:
+                discard(todo)
     return grouped
-
-
-def _pairs(df: DataFrame, one: str, other: str) -> DataFrame:
-    return df.select(F.least(one, other).alias("a"), F.greatest(one, other).alias("b")).distinct()

@@ -9,9 +9,11 @@ MATCH of the K coordinates collide:
 2. Tokens that only one document has are dropped; a document that keeps fewer than
    MATCH tokens can have no partner and is skipped.
 3. Prefix: with tokens in one global order (rarest first), two documents with MATCH
-   common tokens share one among their first K - MATCH + 1. Only these are posted, so
-   that tokens of frequent passages are rarely posted at all.
-4. Postings are merged around pivots; pairs that already lie in one component are skipped (see :mod:`linking`).
+   common tokens share one among their first K - MATCH + 1. Only these lists are merged; those of
+   frequent tokens are skipped: a posting carries a byte of each coordinate, so that the collisions
+   in all lists, skipped ones too, are counted where two documents first meet (a byte agrees by chance in one of
+   256 coordinates, which can only add a candidate).
+4. Lists are merged around leaders, large ones without pairing all (see :mod:`linking`).
 5. Candidates are confirmed on the full shingle sets, exactly.
 6. Documents with a candidate in another component may still be linked across. For these few an exact
    prefix join over their shingles, rarest first and with the bound on the overlap that positions
@@ -19,10 +21,10 @@ MATCH of the K coordinates collide:
 
 With K = 48 and MATCH = 25, a pair at similarity 0.8 is missed with a probability of about 2e-6.
 
-Defined results: a null or empty text has no shingles, is linked with nothing and kept;
-fewer words than a shingle form one shingle of the whole sequence; repeated texts form one
+Defined results: a null or empty text has no shingles, is linked with nothing and kept; so is a row without a
+doc_id (its component_id is null); fewer words than a shingle form one shingle of the whole sequence; repeated texts form one
 component; the smallest doc_id wins; an empty table gives an empty table.
-doc_id is unique. Extra columns are ignored (:func:`deduplicate` passes them through).
+doc_id is unique. Other columns are ignored (:func:`deduplicate` passes them through, whatever their names).
 """
 
 from __future__ import annotations
@@ -33,45 +35,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import blobs
-from .common import arrow_map, checkpointed, only, utf8_parts, written
+from .common import BROADCAST_KEYS, arrow_map, discard, documents_of, isolated, only, restored, utf8_parts, written
 from .linking import link
+from .words import TextWords, mixed
 
 K = 48
 MATCH = 25
-_LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
-_KEPT_WORDS = 400_000
 _U = np.uint64
 
 
-def mixed(x: np.ndarray) -> np.ndarray:
-    """A bijective finaliser on unsigned 64-bit values."""
-    x = x ^ (x >> _U(31))
-    x = x * _U(0x7FB5D329728EA185)
-    x = x ^ (x >> _U(27))
-    x = x * _U(0x81DADEF4BC2DD44D)
-    return x ^ (x >> _U(33))
-
-
-class WordHashes(dict):
-    """Word (bytes) to its 64-bit hash, as a bounded memory of what was seen."""
-
-    def __missing__(self, word: bytes) -> int:
-        import xxhash
-
-        if len(self) > _KEPT_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-    def of(self, words: list[bytes]) -> np.ndarray:
-        return np.fromiter(map(self.__getitem__, words), dtype=_U, count=len(words))
-
-
-def words_of(text: bytes | memoryview) -> list[bytes]:
-    """Words, ASCII lower-cased: bytes.split() separates at exactly the white space of the contract."""
-    return bytes(text).translate(_LOWER).split()
-
-
 def shingle_set(hashes: np.ndarray, size: int) -> np.ndarray:
     """Sorted distinct shingle hashes of one document's word hashes."""
     n = len(hashes)
@@ -109,28 +81,32 @@ def _sign(size: int, k: int):
     def make():
         import xxhash
 
-        known = WordHashes()
+        words = TextWords()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             data, at = utf8_parts(batch.column(1))
-            sets = [shingle_set(known.of(words_of(data[a:b])), size) for a, b in zip(at[:-1], at[1:], strict=True)]
-            full = [i for i, s in enumerate(sets) if len(s)]
-            tokens = np.zeros((len(sets), k), dtype=np.int64)
-            lengths = np.zeros(len(sets), dtype=np.int32)
-            for lo in range(0, len(full), 64):
-                part = full[lo : lo + 64]
-                tokens[part] = signatures([sets[i] for i in part], k).view(np.int64)
-            lengths[full] = k
-            values = tokens[full].reshape(-1)
-            return pa.RecordBatch.from_arrays(
-                [
-                    batch.column(0).cast(pa.int64()),
-                    pa.array([len(s) for s in sets], pa.int64()),
-                    pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
-                    pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(lengths)]), pa.int32()), pa.array(values, pa.int64())),
-                ],
-                ["doc_id", "n_shingles", "set_key", "tokens"],
-            )
+            n = batch.num_rows
+            counts, digests, tokens = [0] * n, [None] * n, [None] * n
+            held: list = []
+
+            def flush() -> None:
+                if held:
+                    for (i, _), row in zip(held, signatures([s for _, s in held], k), strict=True):
+                        tokens[i] = row.tobytes()
+                    held.clear()
+
+            gathered = 0
+            for i, hashes in words.each(data, at):
+                own = shingle_set(hashes, size)
+                if len(own):
+                    counts[i], digests[i] = len(own), xxhash.xxh3_128_digest(own.tobytes())
+                    held.append((i, own))
+                    gathered += len(own)
+                    if gathered > 100_000:
+                        flush()
+                        gathered = 0
+            flush()
+            return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(counts, pa.int64()), pa.array(digests, pa.binary()), pa.array(tokens, pa.binary())], ["doc_id", "n_shingles", "set_key", "tokens"])
 
         return one
 
@@ -139,11 +115,11 @@ def _sign(size: int, k: int):
 
 def _sets(size: int):
     def make():
-        known = WordHashes()
+        words = TextWords()
 
         def one(batch: pa.RecordBatch) -> pa.RecordBatch:
             data, at = utf8_parts(batch.column(1))
-            sets = [shingle_set(known.of(words_of(data[a:b])), size) for a, b in zip(at[:-1], at[1:], strict=True)]
+            sets = [shingle_set(hashes, size) for _, hashes in words.each(data, at)]
             ends = np.cumsum([0, *[len(s) for s in sets]])
             flat = np.concatenate(sets).view(np.int64) if sets else np.zeros(0, np.int64)
             return pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))], ["id", "shingles"])
@@ -153,6 +129,93 @@ def _sets(size: int):
     return make
 
 
+_TOKEN = np.dtype([("token", "<u8"), ("id", "<i8")])
+_COUNTED = np.dtype([("token", "<u8"), ("id", "<i8"), ("n", "<u4")])
+
+
+def _signature_rows(column: pa.Array, k: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(-1, k)
+
+
+def _tokens_dealt(k: int, buckets: int):
+    """(token, id) of every coordinate, by bucket of the token."""
+
+    def run(batches):
+        packer = blobs.Packer(buckets)
+        for batch in batches:
+            rows = _signature_rows(batch.column(1), k)
+            for c in range(k):
+                records = np.empty(len(rows), dtype=_TOKEN)
+                records["token"], records["id"] = rows[:, c], batch.column(0).to_numpy()
+                yield from packer.add(_bucket(rows[:, c], buckets), records)
+        yield from packer.flush()
+
+    return run
+
+
+def _shared_tokens(buckets: int):
+    """Drop tokens of one document only; deal the others, with their number of documents, by document."""
+
+    def reduce(records: np.ndarray) -> pa.Table:
+        records = records[np.argsort(records["token"], kind="stable")]
+        _, back, counts = np.unique(records["token"], return_inverse=True, return_counts=True)
+        keep = counts[back] > 1
+        out = np.empty(int(keep.sum()), dtype=_COUNTED)
+        out["token"], out["id"], out["n"] = records["token"][keep], records["id"][keep], np.minimum(counts[back][keep], 0xFFFFFFFF)
+        return _packed_by("id", out, buckets)
+
+    return reduce
+
+
+def _ranked(match: int):
+    """Of documents with ``match`` shared tokens or more: the prefix, rarest tokens first."""
+
+    def reduce(records: np.ndarray) -> pa.Table:
+        records = records[np.lexsort((records["token"], records["n"], records["id"]))]
+        ids, first, counts = np.unique(records["id"], return_index=True, return_counts=True)
+        wanted = counts >= match
+        ids, first, size = ids[wanted], first[wanted], counts[wanted] - match + 1
+        flat = np.repeat(first, size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        offsets = np.concatenate([[0], np.cumsum(size)])
+        return pa.table({"id": pa.array(ids), "prefix": pa.LargeListArray.from_arrays(pa.array(offsets, pa.int64()), pa.array(records["token"][flat].view(np.int64))).cast(pa.list_(pa.int64()))})
+
+    return reduce
+
+
+def posting(k: int) -> np.dtype:
+    """A document under a token: its set's size and one byte of every coordinate's value."""
+    return np.dtype([("key", "<u8"), ("id", "<i8"), ("n", "<u4"), ("sketch", "u1", (k,))])
+
+
+def _posted(k: int, buckets: int):
+    dtype = posting(k)
+
+    def run(batches):
+        packer = blobs.Packer(buckets)
+        for batch in batches:
+            prefix = batch.column(2)
+            size = np.diff(prefix.offsets.to_numpy())
+            records = np.empty(int(size.sum()), dtype=dtype)
+            records["key"] = prefix.flatten().to_numpy().view(np.uint64)
+            records["id"], records["n"] = np.repeat(batch.column(0).to_numpy(), size), np.repeat(np.minimum(batch.column(1).to_numpy(), 0xFFFFFFFF), size)
+            records["sketch"] = np.repeat((_signature_rows(batch.column(3), k) & _U(255)).astype(np.uint8), size, axis=0)
+            yield from packer.add(_bucket(records["key"], buckets), records)
+        yield from packer.flush()
+
+    return run
+
+
+def _collide(percent: int, match: int):
+    """Whether two documents agree in ``match`` coordinates and their sizes allow the similarity."""
+
+    def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+        nx, ny = x["n"].astype(np.int64), y["n"].astype(np.int64)
+        fits = 100 * np.minimum(nx, ny) >= percent * np.maximum(nx, ny)
+        return fits & (np.count_nonzero(x["sketch"] == y["sketch"], axis=-1) >= match)
+
+    return near
+
+
 _POSTED = np.dtype([("s", "<u8"), ("id", "<i8"), ("component", "<i8"), ("n", "<u4"), ("at", "<u4")])
 
 
@@ -168,11 +231,12 @@ def _packed_by(key: str, records: np.ndarray, buckets: int) -> pa.Table:
 
 def _posted_shingles(size: int, buckets: int):
     def run(batches):
-        known, packer = WordHashes(), blobs.Packer(buckets)
+        words, packer = TextWords(), blobs.Packer(buckets)
         for batch in batches:
             data, at = utf8_parts(batch.column(2))
-            for i, (doc, component) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
-                shingles = shingle_set(known.of(words_of(data[at[i] : at[i + 1]])), size)
+            docs, components = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            for i, hashes in words.each(data, at):
+                doc, component, shingles = docs[i], components[i], shingle_set(hashes, size)
                 records = np.zeros(len(shingles), dtype=_POSTED)
                 records["s"], records["id"], records["component"], records["n"] = shingles, doc, component, len(shingles)
                 yield from packer.add(_bucket(shingles, buckets), records)
@@ -240,7 +304,7 @@ def _across(percent: int, block: int = 1024):
 
 def across(texts: DataFrame, members: DataFrame, size: int, percent: int) -> DataFrame:
     """Pairs (a, b) of ``members`` (id, component) in different components, among them all with the given similarity."""
-    members = checkpointed(members.select(F.col("id").alias("doc_id"), "component"))
+    members = written(members.select(F.col("id").alias("doc_id"), "component"), "members")
     found = only(texts, members, "doc_id").select("doc_id", "component", "text")
     characters = found.agg(F.sum(F.length("text"))).first()[0] or 0
     buckets = max(32, characters * _POSTED.itemsize // 5 // (24 << 20))
@@ -256,45 +320,52 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     Links have 100 * intersection >= ``percent`` * union over sets of ``size``-word shingles.
     ``match`` must suit ``percent``: the default holds for 80 and more.
     """
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = written(arrow_map(texts, _sign(size, k), "doc_id long, n_shingles long, set_key binary, tokens array<long>"), "signatures")
+    texts = documents_of(docs)
+    signed = written(arrow_map(texts, _sign(size, k), "doc_id long, n_shingles long, set_key binary, tokens binary"), "signatures")
     # One representative for each distinct set.
-    classes = written(signed.where("set_key IS NOT NULL").groupBy("set_key").agg(F.min(F.struct("doc_id", "n_shingles", "tokens")).alias("r")).select("set_key", F.col("r.doc_id").alias("id"), F.col("r.n_shingles").alias("n"), F.col("r.tokens").alias("tokens")), "classes")
-
-    posted = classes.select("id", F.explode("tokens").alias("token"))
-    shared = posted.groupBy("token").count().where("count > 1")
-    common = posted.join(shared, "token").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("count", "token"))).alias("ranked"), F.sum("count").alias("weight")).where(F.size("ranked") >= match)
-    nodes = written(
-        common.join(classes.select("id", "n"), "id").select(
-            "id", "n", "weight", F.transform("ranked.token", lambda t: F.shiftright(t, 32).cast("int")).alias("common"),
-            F.slice(F.col("ranked.token"), 1, F.size("ranked") - F.lit(match - 1)).alias("prefix"),
-        ),
-        "nodes",
-    )
-
-    def candidate(x: str, y: str):
-        fits = (F.lit(100) * F.least(f"{x}.n", f"{y}.n") >= F.lit(percent) * F.greatest(f"{x}.n", f"{y}.n"))
-        return fits & (F.size(F.array_intersect(f"{x}.common", f"{y}.common")) >= match)
+    able = signed.where("set_key IS NOT NULL AND doc_id IS NOT NULL")
+    sets = written(able.groupBy("set_key").agg(F.min("doc_id").alias("id"), F.count("*").alias("copies")), "sets")
+    one = sets.select(F.col("id").alias("doc_id"))
+    classes = written(able.join(F.broadcast(one) if one.count() <= BROADCAST_KEYS else one, "doc_id", "left_semi").select(F.col("doc_id").alias("id"), F.col("n_shingles").alias("n"), "tokens"), "classes")
+
+    number = classes.count()
+    buckets = max(32, number * k * _TOKEN.itemsize // (24 << 20))
+    tokens = classes.select("id", "tokens").mapInArrow(_tokens_dealt(k, buckets), blobs.SCHEMA)
+    shared = blobs.by_bucket(tokens, _TOKEN, _shared_tokens(buckets), blobs.SCHEMA)
+    ranked = written(blobs.by_bucket(shared, _COUNTED, _ranked(match), "id long, prefix array<long>"), "prefixes")
+    nodes = classes.join(F.broadcast(ranked) if number <= BROADCAST_KEYS // 16 else ranked, "id").select("id", "n", "prefix", "tokens")
+    dtype = posting(k)
+    width = max(32, (ranked.agg(F.sum(F.size("prefix"))).first()[0] or 0) * dtype.itemsize // (24 << 20))
 
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.col("a").alias("doc_id")).unionAll(pairs.select(F.col("b").alias("doc_id"))).distinct()
-        sets = written(arrow_map(only(texts, checkpointed(wanted), "doc_id"), _sets(size), "id long, shingles array<long>"), "sets")
-        left, right = sets.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), sets.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
-        both = F.size(F.array_intersect("sa", "sb"))
-        return pairs.join(left, "a").join(right, "b").withColumn("both", both).where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b")
+        wanted = written(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "wanted")
+        own = written(arrow_map(only(texts, wanted, "doc_id").select("doc_id", "text"), _sets(size), "id long, shingles array<long>"), "shingles", "zstd")
+        left, right = own.select(F.col("id").alias("a"), F.col("shingles").alias("sa")), own.select(F.col("id").alias("b"), F.col("shingles").alias("sb"))
+        both = pairs.join(left, "a").join(right, "b").withColumn("both", F.size(F.array_intersect("sa", "sb")))
+        links = written(both.where(F.lit(100) * F.col("both") >= F.lit(percent) * (F.size("sa") + F.size("sb") - F.col("both"))).select("a", "b"), "links")
+        discard(wanted, own)
+        return links
 
     def residual(members: DataFrame) -> DataFrame:
         return across(texts, members, size, percent)
 
-    linked = link(nodes, nodes.select("id", F.col("weight").alias("rank"), F.explode("prefix").alias("key")), candidate, ["n", "common"], verify, residual, hashed_pivots=3)
-    of_class = classes.select("set_key", "id").join(linked, "id", "left").select("set_key", F.coalesce("component", "id").alias("component_id"))
-    return signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id")).withColumn("kept", F.col("doc_id") == F.col("component_id"))
+    linked = link(nodes.mapInArrow(_posted(k, width), blobs.SCHEMA), dtype, _collide(percent, match), verify, width, residual)
+    light = F.broadcast if linked.count() <= BROADCAST_KEYS else lambda df: df
+    own = sets.join(light(linked), "id", "left")
+    # Copies of a text and members of a component take its smallest id; all others keep their own.
+    several = written(own.where("copies > 1 OR component <> id").select("set_key", F.coalesce("component", "id").alias("component")), "components")
+    discard(classes, ranked, linked, sets)
+    return (
+        signed.select("doc_id", "n_shingles", "set_key").join(F.broadcast(several) if several.count() <= BROADCAST_KEYS // 2 else several, "set_key", "left")
+        .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+    )
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The documents with the smallest doc_id of their component, all columns kept."""
-    kept = near_duplicates(docs, **options).where("kept").select(F.col("doc_id").alias("__kept"))
-    return docs.join(kept, F.col("doc_id").cast("long") == F.col("__kept"), "left_semi")
+    """The documents with the smallest doc_id of their component, all columns kept; those without a doc_id stay."""
+    gone = written(near_duplicates(docs, **options).where("NOT kept").select("doc_id"), "gone")
+    own = isolated(docs, doc_id="doc_id").select("row", F.col("doc_id").cast("long").alias("doc_id"))
+    return restored(own.join(F.broadcast(gone) if gone.count() <= BROADCAST_KEYS else gone, "doc_id", "left_anti"), docs)
 
 
 def op9(spark, sf_dir: str) -> DataFrame:

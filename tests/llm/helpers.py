@@ -15,12 +15,22 @@ def documents(spark):
     return spark.read.parquet(f"{SF}/documents.parquet")
 
 
+#: Names that operators use inside or return, in other cases too.
+CLASHING = "row key gone id a b x y h1 line component n bucket packed N_Words kept Kept words sketch tokens stays copies n_removed removed_ c0 o0 c1 __words __kept __doc __gone __row set_key Base_Failed topic n_tokens terms salt weight p".split()
+
+
 def awkward(spark):
-    """Nulls, empty and very long texts, ties, repeated texts, and columns whose names operators use inside."""
+    """Nulls, empty and very long texts, ties, repeated texts, a row without doc_id, and columns whose names operators use inside."""
     from pyspark.sql import functions as F
 
     df = spark.createDataFrame([(*row[:2], *row[2:]) for row in AWKWARD], SCHEMA)
-    return df.withColumn("n_words", F.lit("mine")).withColumn("kept", F.lit(7)).withColumn("id", F.lit(1.5)).withColumn("component", F.lit("x")).withColumn("bucket", F.lit(None).cast("string"))
+    names = [n for n in CLASHING if n not in df.columns]
+    return df.select("*", *[F.lit(f"mine {i}").alias(f"e{i}") if i % 3 else F.lit(None).cast("double").alias(f"e{i}") for i in range(len(names))]).toDF(*df.columns, *names)
+
+
+def clash_free(df):
+    """The columns by position, for reading rows of a table with names that differ in case only."""
+    return df.toDF(*[f"k{i}" for i in range(len(df.columns))])
 
 
 def nothing(spark):

@@ -64,14 +64,15 @@ def test_deduplicate_keeps_columns(spark):
     assert minhash.near_duplicates(nothing(spark)).count() == 0
 
 
-def test_components_of_random_graphs(spark):
+@pytest.mark.parametrize("in_task", [linking.EDGES_IN_TASK, 3])
+def test_components_of_random_graphs(spark, in_task):
     r = random.Random(1)
     edges = [(r.randrange(200), r.randrange(200)) for _ in range(150)] + [(k, k + 1) for k in range(1000, 1060)]
     groups = Groups()
     for a, b in edges:
         if a != b:
             groups.join(a, b)
-    got = {x.id: x.component for x in linking.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {x.id: x.component for x in linking.components(spark.createDataFrame(edges, "a long, b long"), in_task).collect()}
     assert got == {k: groups.find(k) for k in groups}
 
 
@@ -123,37 +124,62 @@ def edited_lines(spark):
     return spark.createDataFrame(rows, "doc_id long, text string")
 
 
-@pytest.mark.parametrize("make", [edited_lines, awkward])
-def test_duplicate_lines_equal_brute_force(spark, make):
-    docs = make(spark)
-    places, known = {}, minhash.WordHashes()
+def line_places(docs):
+    """Places of each distinct normalised line."""
+    places = {}
     for d, t in sorted(texts(docs).items()):
         for n, w in enumerate(lines.plain_words(t)):
-            raw = b" ".join(w)
-            if len(raw) >= lines.MIN_CHARS:
-                places.setdefault(raw, []).append((d, n))
-    distinct, groups = list(places), Groups()
-    sims = [int(lines.simhashes(known.of(x.split()), np.array([0]), np.array([len(x.split())]))[0]) for x in distinct]
-    for i, a in enumerate(distinct):
+            if w:
+                places.setdefault(b" ".join(w).decode(), []).append((d, n))
+    return places
+
+
+def alike(x, y):
+    return 100 * edits(x, y) <= 20 * max(len(x), len(y)) if max(len(x), len(y)) < 5000 else y.startswith(x) or x.startswith(y)
+
+
+@pytest.mark.parametrize("make", [edited_lines, awkward])
+def test_duplicate_lines_equal_all_pairs(spark, make):
+    """Against edit similarity of all pairs, without any filter."""
+    docs = make(spark)
+    places, groups = line_places(docs), Groups()
+    distinct = list(places)
+    for i, x in enumerate(distinct):
         for j in range(i + 1, len(distinct)):
-            if (sims[i] ^ sims[j]).bit_count() <= lines.DISTANCE:
-                x, y = a.decode(), distinct[j].decode()
-                close = len(x) < 5000 and 100 * edits(x, y) <= 20 * max(len(x), len(y)) or len(x) >= 5000 and y.startswith(x)
-                if close:
-                    groups.join(i, j)
+            if alike(x, distinct[j]):
+                groups.join(i, j)
     first = {}
     for i, x in enumerate(distinct):
         first.setdefault(groups.find(i), []).extend(places[x])
     want = {p for own in first.values() for p in own if p != min(own)}
     got = {(r.doc_id, r.line) for r in lines.duplicate_lines(docs).collect()}
-    assert got == want and (make is awkward or got)
+    assert got == want and got
+
+
+def test_hot_groups_and_rows_without_id(spark, monkeypatch):
+    """A large group under one key is not paired whole, and links beyond its leaders are still found."""
+    from pyspark.sql import functions as F
+
+    r = random.Random(3)
+    base = [f"w{r.randrange(500)}" for _ in range(60)]
+    rows = []
+    for k in range(80):  # a chain: neighbours are similar, its ends are not
+        base[(3 * k) % 60] = f"x{k}"
+        rows.append((k, " ".join(base)))
+    rows += [(1000 + k, "the very same line of many documents") for k in range(50)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").unionAll(spark.createDataFrame([(None, rows[0][1])], "doc_id long, text string"))
+    out = {r.doc_id: r.text for r in lines.deduplicate_lines(docs).collect()}
+    assert out[0] and out[1000] and out[None] == rows[0][1] and not any(out[k] for k in [*range(1, 80), *range(1001, 1050)])
+    near = {r.doc_id: r for r in minhash.near_duplicates(docs.withColumn("text", F.concat("text", F.lit(" and so on"))), size=1, percent=90).collect()}
+    assert near[79].component_id == 0 and near[None].kept and near[None].component_id is None and near[1049].component_id == 1000
 
 
 def test_lines_are_cut_out_and_columns_kept(spark):
     docs = awkward(spark)
-    out = lines.deduplicate_lines(docs, removed_column="gone")
+    out = lines.deduplicate_lines(docs, removed_column="lines_gone")
     got = {r.doc_id: r for r in out.collect()}
-    assert out.columns == [*docs.columns, "gone"] and got[1].text is None and got[6].text == "" and got[6].gone == 1 and got[5].gone == 0 and got[8].text == AWKWARD[7][1]
+    assert out.columns == [*docs.columns, "lines_gone"] and got[1].text is None and got[6].text == "" and got[6].lines_gone == 1 and got[5].lines_gone == 0 and got[8].text == AWKWARD[7][1]
+    assert got[8].component == docs.where("doc_id = 8").first().component
     assert lines.deduplicate_lines(nothing(spark)).count() == 0
 
 
@@ -181,6 +207,31 @@ def test_recall_against_edit_similarity_alone(spark):
     assert any(" " not in bodies[d][1] for d, _ in got)
 
 
+def test_candidates_of_replaced_words(spark):
+    """Real lines of 4 to 1,000 words, one, two or a tenth of their words replaced: pairs at edit similarity 80% are candidates."""
+    r = random.Random(6)
+    real = [lines.normalised(x) for t in texts(spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(400)).values() for x in t.split("\n")]
+    vocabulary = sorted({w for x in real for w in x.split()})
+    found = {}
+    finder = lines.Lines()
+    for low, high in ((4, 7), (8, 15), (16, 39), (40, 99), (100, 1000)):
+        own = [x for x in real if low <= len(x.split()) <= high]
+        for k in (1, 2, 0):
+            pairs = []
+            for x in r.sample(own, min(len(own), 150)):
+                w = x.split()
+                for _ in range(k or max(1, len(w) // 10)):
+                    w[r.randrange(len(w))] = r.choice(vocabulary)
+                y = " ".join(w)
+                if x != y and (len(x) > 1000 or alike(x, y)):
+                    pairs.append((x, y))
+            finder.seen.clear()
+            both = [finder.of([x]) | {"other": finder.of([y])} for x, y in pairs]
+            hits = [bool((f["keys"] == f["other"]["keys"]).any() and (f["sim"] ^ f["other"]["sim"]).item().bit_count() <= lines.DISTANCE) for f in both if len(f["keys"]) and len(f["other"]["keys"])]
+            found[low, k] = (sum(hits) / max(1, len(hits)), len(hits))
+    assert all(share >= 0.9 for share, n in found.values() if n > 20), found
+
+
 def test_suffixes_do_not_tie_by_half_a_fingerprint():
     import inspect
 
