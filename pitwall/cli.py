@@ -6,6 +6,7 @@ import argparse
 import json
 import sys
 
+from pyspark.errors import PySparkException
 from pyspark.sql import SparkSession
 
 from pitwall import __version__
@@ -24,7 +25,7 @@ def inspect(spark, a) -> int:
 
 def preprocess(spark, a) -> int:
     if a.config:
-        specs, segment_path = dataset.session_specs(a.config)
+        specs, segment_path = dataset.session_specs(spark, a.config)
     elif a.replays:
         specs, segment_path = [{"replay": r, "setup": a.setup, "setup_sp": a.setup_sp, "setup_label": a.setup_label, "driver_name": a.driver_name} for r in a.replays], None
     else:
@@ -60,9 +61,9 @@ def frames(spark, a) -> int:
     failed = False
     for path in a.replays:
         try:
-            for out in frame_csv.convert(path, a.output, a.driver_name):
+            for out in frame_csv.convert(spark, path, a.output, a.driver_name):
                 print(out)
-        except (OSError, recording.RecordingError) as error:
+        except (OSError, recording.RecordingError, PySparkException) as error:  # what tasks raise arrives as Spark's
             failed = True
             print(f"{path}: {error}", file=sys.stderr)
     return 1 if failed else 0
@@ -97,7 +98,7 @@ def main(arguments: list[str] | None = None) -> int:
     spark = SparkSession.builder.appName("pitwall").getOrCreate()
     try:
         return a.run(spark, a)
-    except (OSError, ValueError, KeyError) as error:
+    except (OSError, ValueError, KeyError, PySparkException) as error:
         print(f"error: {error}", file=sys.stderr)
         return 2
 

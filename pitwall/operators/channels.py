@@ -20,6 +20,11 @@ RAW_COLUMNS = (
     "position_x", "position_y", "position_z", "velocity_x", "velocity_y", "velocity_z", "yaw", "gas", "brake", "clutch",
     "steer", "gear_raw", "rpm", "drivetrain_speed", "fuel", "fuel_per_lap",
 )
+#: What derive() reads.
+INPUT_COLUMNS = (*RAW_COLUMNS, *[f"wheel_{w}_{c}" for w in WHEELS for c in WHEEL_CHANNELS])
+#: Channels that no recording holds, and channels that stand in for one.
+UNKNOWN = ("is_in_pit", "is_off_track_candidate")
+STAND_INS = {"progress": "share of the distance of its lap", "tc_activity_proxy": "throttle times rear slip", "actual_distance_m": "sum of horizontal steps"}
 SAMPLE_COLUMNS = (
     "session_id", "sample_index", "source_frame", "timestamp_s", "dt_s", "lap_id", "lap_segment_index", "source_lap_number", "lap_time_s",
     "position_x", "position_y", "position_z", "actual_distance_m", "normalized_actual_distance", "progress", "progress_source", "progress_confidence",
@@ -173,7 +178,7 @@ def flags(df: DataFrame, config: Thresholds = DEFAULT) -> DataFrame:
         "is_rear_wheelspin_candidate": (throttle >= config.wheelspin_minimum_throttle) & (speed >= config.wheelspin_minimum_speed_kmh) & (F.col("rear_slip_ratio_max") >= config.wheelspin_slip_ratio_threshold),
         "is_valid_sample": F.col("lap_time_s").isNotNull() & speed.isNotNull(),
     }
-    unknown = [F.lit(None).cast("boolean").alias(n) for n in ("is_in_pit", "is_off_track_candidate")]
+    unknown = [F.lit(None).cast("boolean").alias(n) for n in UNKNOWN]
     return df.select("*", *[yes(c).alias(n) for n, c in named.items()], *unknown)
 
 

@@ -116,5 +116,9 @@ def session_label(stem: Column, driver: Column, car_id: Column, cars: Column) ->
 
 
 def best(laps: DataFrame, sessions: DataFrame | None = None, k: int = 10) -> DataFrame:
-    """The fastest complete laps of all sessions, ties in order of session and segment."""
-    return laps.where("is_complete").orderBy(F.col("lap_time_s"), "session_id", "lap_segment_index").limit(k)
+    """The fastest complete laps of all sessions, ties in order of the sessions (``place``, ``car_index`` of ``sessions``, if it has them) and segments."""
+    order = [c for c in ("place", "car_index") if sessions is not None and c in sessions.columns]
+    placed = laps.where("is_complete")
+    if order:
+        placed = placed.join(sessions.select("session_id", *order), "session_id")
+    return placed.orderBy(F.col("lap_time_s"), *order, "session_id", "lap_segment_index").limit(k).select(*laps.columns)

@@ -1,22 +1,26 @@
 """Binary session recordings (version 16): layout, frames, and a Spark data source.
 
 The layout of a file is found by seeking over its blocks; frames are records of equal length and are decoded
-by one numpy dtype, so that any range of a car's frames can be read alone. The data source "recording" makes
-a partition of each (file, car, range of frames).
+by one numpy dtype, so that any range of a car's frames can be read alone. :func:`read` finds layouts and hashes
+in a Spark job over the paths and deals (file, car, range of frames) to tasks; the driver sees no file. The data
+source "recording" does the same for plans that name a format, and takes equality filters on driver and car.
 """
 
 from __future__ import annotations
 
 import hashlib
 import io
+import json
 import struct
 import zlib
-from dataclasses import dataclass, field
+from dataclasses import asdict, dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+from pyspark.sql.datasource import DataSource, DataSourceReader, EqualTo, InputPartition
 
 from pitwall.config import WHEELS
 
@@ -233,8 +237,8 @@ def _optional(values: np.ndarray) -> pa.Array:
     return pa.array(values.astype(np.float64), pa.float64(), from_pandas=True)
 
 
-def table(meta: dict, rows: np.ndarray, lo: int, clutch: np.ndarray | None) -> pa.RecordBatch:
-    """A batch of SCHEMA from decoded frames; the first is frame ``lo`` of its car."""
+def table(meta: dict, rows: np.ndarray, lo: int, clutch: np.ndarray | None, wanted: list[str] | None = None) -> pa.RecordBatch:
+    """A batch of SCHEMA, or of its ``wanted`` columns, from decoded frames; the first is frame ``lo`` of its car."""
     n = len(rows)
     axes = {"position": (0, 1, 2), "rotation": (1, 0, 2), "velocity": (0, 1, 2)}
     doubles = {f"{k}_{a}": rows[k][:, i] for k, order in axes.items() for a, i in zip("xyz", order, strict=True)}
@@ -242,16 +246,24 @@ def table(meta: dict, rows: np.ndarray, lo: int, clutch: np.ndarray | None) -> p
         doubles |= {f"wheel_{w}_{c}": rows[c][:, k] for c in ("angular_velocity", "slip_angle", "slip_ratio", "nd_slip", "load")}
         doubles |= {f"wheel_{w}_position_{a}": rows["wheel_position"][:, k, i] for i, a in enumerate("xyz")}
     doubles |= {c: rows[c] for c in ("gas", "brake", "steer", "rpm", "drivetrain_speed", "bodywork_noise", "fuel", "fuel_per_lap", "boost")}
-    longs = {c: pa.array(rows[c].astype(np.int64)) for c in ("source_lap_number", "lap_time_ms", "last_lap_ms", "best_lap_ms", "gear_raw")}
     kinds = dict(part.strip().split() for part in _META.split(","))
     arrow = {"string": pa.string(), "int": pa.int32(), "double": pa.float64()}
-    at = pa.array(np.arange(lo, lo + n))
-    columns = {
-        **{k: pa.array([meta[k]], arrow[t]).take(pa.array(np.zeros(n, np.int32))) for k, t in kinds.items()}, "source_frame": at, "sample_index": at, **longs,
-        "status": pa.array(rows["status"].astype(np.int32)), "yaw": _optional(rows["rotation"][:, 0]),
-        **{c: _optional(doubles[c]) if c in doubles else _optional(clutch) if clutch is not None else pa.nulls(n, pa.float64()) for c in _DOUBLES},
-    }
-    return pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
+
+    def column(name: str) -> pa.Array:
+        if name in kinds:
+            return pa.array([meta[name]], arrow[kinds[name]]).take(pa.array(np.zeros(n, np.int32)))
+        if name in ("source_frame", "sample_index"):
+            return pa.array(np.arange(lo, lo + n))
+        if name in ("source_lap_number", "lap_time_ms", "last_lap_ms", "best_lap_ms", "gear_raw"):
+            return pa.array(rows[name].astype(np.int64))
+        if name == "status":
+            return pa.array(rows["status"].astype(np.int32))
+        if name == "yaw":
+            return _optional(rows["rotation"][:, 0])
+        return _optional(doubles[name]) if name in doubles else _optional(clutch) if clutch is not None else pa.nulls(n, pa.float64())
+
+    names = wanted or [part.strip().split()[0] for part in SCHEMA.split(",")]
+    return pa.RecordBatch.from_arrays([column(name) for name in names], names)
 
 
 def car_meta(path: str, digest: str, layout: Layout, index: int) -> dict:
@@ -270,7 +282,7 @@ def parse(data: bytes) -> tuple[Layout, list[np.ndarray], list]:
     return layout, [frames(file, car) for car in layout.cars], [extra_frames(file, len(data), layout, i) for i in range(len(layout.cars))]
 
 
-def _open(path: str):
+def open_file(path: str):
     from pyarrow import fs
 
     store, inside = fs.FileSystem.from_uri(path) if "://" in path or path.startswith("file:") else (fs.LocalFileSystem(), path)
@@ -295,17 +307,34 @@ class _Part(InputPartition):
     hi: int
 
 
+#: Columns of a car block on which the source takes equality filters.
+PUSHED = ("car_index", "driver_name", "car_id", "nation_code", "driver_team", "car_skin_id")
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options):
         self.paths = [p for p in options.get("paths", options.get("path", "")).split("\n") if p]
         self.driver = options.get("driver_name")
         self.header = options.get("mode", "frames") == "header"
         self.range = int(options.get("frames_per_partition", RANGE))
+        self.equal: dict[str, set] = {}
+
+    def pushFilters(self, filters):
+        """Equality on a column of the car block selects cars before any frame is read; other filters stay with Spark."""
+        for f in filters:
+            if isinstance(f, EqualTo) and len(f.attribute) == 1 and f.attribute[0] in PUSHED:
+                self.equal.setdefault(f.attribute[0], set()).add(f.value)
+            else:
+                yield f
+
+    def _selected(self, layout: Layout, index: int) -> bool:
+        own = {"car_index": index, **{k: getattr(layout.cars[index], k) for k in PUSHED if k != "car_index"}}
+        return all({own[k]} == values for k, values in self.equal.items())
 
     def partitions(self):
         parts = []
         for path in self.paths:
-            file, size = _open(path)
+            file, size = open_file(path)
             with file:
                 layout, digest = scan(file, size), _digest(file)
             if not layout.cars:
@@ -313,13 +342,15 @@ class _Reader(DataSourceReader):
             chosen = [i for i, car in enumerate(layout.cars) if self.driver is None or car.driver_name == self.driver]
             if not chosen:
                 raise RecordingError(f'driver "{self.driver}" is not in {path}')
-            for i in chosen:
+            for i in filter(lambda i: self._selected(layout, i), chosen):
                 n = layout.cars[i].frames
                 parts += [_Part(path, digest, layout, i, lo, min(n, lo + self.range)) for lo in ([0] if self.header else range(0, n, self.range))]
         return parts
 
-    def read(self, part: _Part):
-        file, size = _open(part.path)
+    def read(self, part: _Part | None):
+        if part is None:  # no car was selected
+            return
+        file, size = open_file(part.path)
         with file:
             meta = car_meta(part.path, part.digest, part.layout, part.car)
             extra = extra_frames(file, size, part.layout, part.car)
@@ -346,11 +377,91 @@ class RecordingSource(DataSource):
         return _Reader(self.options)
 
 
-def read(spark: SparkSession, paths: list[str] | str, driver_name: str | None = None, mode: str = "frames"):
-    """Frames (or, with mode header, a row for each car) of recordings."""
-    spark.dataSource.register(RecordingSource)
-    reader = spark.read.format("recording").option("paths", paths if isinstance(paths, str) else "\n".join(paths)).option("mode", mode)
-    return (reader.option("driver_name", driver_name) if driver_name is not None else reader).load()
+def from_json(text: str) -> Layout:
+    raw = json.loads(text)
+    return Layout(**{**raw, "cars": tuple(CarBlock(**c) for c in raw["cars"]), "driver_names": tuple(raw["driver_names"]), "extras": {int(k): tuple(v) for k, v in raw["extras"].items()}})
+
+
+_LAYOUTS = "path string, size long, digest string, layout string, car int, driver_name string, frames long"
+
+
+def layouts(spark: SparkSession, paths: list[str]):
+    """A row for each car of each recording: found and hashed by tasks, one file each."""
+
+    def run(batches):
+        for batch in batches:
+            for path in batch.column(0).to_pylist():
+                file, size = open_file(path)
+                with file:
+                    layout, digest = scan(file, size), _digest(file)
+                if not layout.cars:
+                    raise RecordingError(f"{path}: no cars")
+                text = json.dumps(asdict(layout))
+                rows = [(path, size, digest, text, i, car.driver_name, car.frames) for i, car in enumerate(layout.cars)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) if k != 4 else pa.array(c, pa.int32()) for k, c in enumerate(zip(*rows, strict=True))], ["path", "size", "digest", "layout", "car", "driver_name", "frames"])
+
+    listed = spark.createDataFrame([(p,) for p in dict.fromkeys(paths)], "path string")
+    return listed.repartition(max(1, min(len(paths), 10_000)), "path").mapInArrow(run, _LAYOUTS)
+
+
+def ranges(cars, step: int):
+    """The cars of :func:`layouts` by ranges of frames lo to hi."""
+    spread = cars.withColumn("lo", F.explode(F.sequence(F.lit(0).cast("long"), F.col("frames") - 1, F.lit(step).cast("long"))))
+    return spread.withColumn("hi", F.least(F.col("frames"), F.col("lo") + F.lit(step)))
+
+
+def _decoded(columns: list[str] | None):
+    def run(batches):
+        for batch in batches:
+            for row in batch.to_pylist():
+                layout, car = from_json(row["layout"]), row["car"]
+                file, size = open_file(row["path"])
+                with file:
+                    extra = extra_frames(file, size, layout, car) if columns is None or "clutch" in columns else None
+                    clutch = extra_columns(*extra)["clutch"][row["lo"] : row["hi"]] if extra else None
+                    yield table(car_meta(row["path"], row["digest"], layout, car), frames(file, layout.cars[car], row["lo"], row["hi"]), row["lo"], clutch, columns)
+
+    return run
+
+
+def _headers(batches):
+    names = [part.strip().split()[0] for part in HEADER_SCHEMA.split(",")]
+    for batch in batches:
+        rows = []
+        for row in batch.to_pylist():
+            layout, car = from_json(row["layout"]), row["car"]
+            file, size = open_file(row["path"])
+            with file:
+                extra = extra_frames(file, size, layout, car)
+            more = (layout.cars[car].frames, extra[0] if extra else None, len(extra[1]) if extra else 0, layout.version, layout.current_recording_index, layout.num_frames, layout.num_track_objects, layout.patch_offset, layout.driver_names[car])
+            rows.append((row["path"], size, *car_meta(row["path"], row["digest"], layout, car).values(), *more))
+        types = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "double": pa.float64()}
+        kinds = [types[part.strip().split()[1]] for part in HEADER_SCHEMA.split(",")]
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+
+
+def read(spark: SparkSession, paths: list[str] | str, driver_name: str | None = None, mode: str = "frames", columns: list[str] | None = None, frames_per_partition: int = RANGE, drivers: dict[str, str | None] | None = None):
+    """Frames (or, with mode header, a row for each car) of recordings; of frames perhaps only some ``columns`` are decoded.
+
+    ``driver_name`` selects cars of all files, ``drivers`` (path to name or None) those of each; a file without the driver is an error.
+    """
+    paths = paths.split("\n") if isinstance(paths, str) else paths
+    wanted = {p: (drivers or {}).get(p, driver_name) for p in paths}
+    cars = layouts(spark, paths)
+    if any(v is not None for v in wanted.values()):
+        chosen = spark.createDataFrame(list(wanted.items()), "path string, wanted string")
+        cars = cars.join(F.broadcast(chosen), "path").withColumn("own", F.col("wanted").isNull() | (F.col("driver_name") == F.col("wanted")))  # a row for each path
+        missing = F.concat(F.lit('driver "'), F.col("wanted"), F.lit('" is not in '), F.col("path"))
+        found = F.max("own").over(Window.partitionBy("path"))
+        cars = cars.withColumn("found", found).where(F.when(~F.col("found"), F.raise_error(missing).cast("boolean")).otherwise(F.col("own"))).drop("wanted", "own", "found")
+    if mode == "header":
+        return cars.mapInArrow(_headers, HEADER_SCHEMA)
+    parts = ranges(cars, frames_per_partition)
+    schema = SCHEMA if columns is None else ", ".join(part.strip() for part in SCHEMA.split(",") if part.split()[0] in columns)
+    names = [part.strip().split()[0] for part in schema.split(",")]
+    dealt = parts.repartition("path", "car", "lo") if len(paths) > 1 else parts.repartition(max(2, spark.sparkContext.defaultParallelism), "path", "car", "lo")
+    return dealt.mapInArrow(_decoded(names), schema)
 
 
 def read_binary_files(spark: SparkSession, path: str):

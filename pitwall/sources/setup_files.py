@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import configparser
 import hashlib
-import json
 from pathlib import PurePosixPath
 
 import pyarrow as pa
@@ -82,12 +81,12 @@ def bundle(spark: SparkSession, ini: str, sp: str | None = None, label: str | No
     return main.unionByName(second.withColumn("ord", F.col("ord") + F.lit(1 << 32)).drop("__id", "__label"))
 
 
-def load_definitions(path: str) -> dict:
+def load_definitions(spark: SparkSession, path: str) -> dict:
     """A segment definition file; its coordinate must be known."""
     from pitwall.operators.segments import COORDINATES
+    from pitwall.sources.files import Files
 
-    with open(path, encoding="utf-8") as f:
-        data = json.load(f)
+    data = Files(spark).load(path)
     if not isinstance(data.get("segments"), list):
         raise ValueError("a definition file needs a list of segments")
     if data.get("coordinate", "actual_distance_m") not in COORDINATES:

@@ -5,6 +5,7 @@ import pytest
 from pitwall import adapter, cli
 from pitwall.operators import channels
 from pitwall.plans import dataset
+from pitwall.sources.files import Files
 from pitwall.streaming.ingest import ingest
 from tests.conftest import SF
 from tests.recordings import build
@@ -20,7 +21,7 @@ def built(spark, tmp_path_factory):
     (root / "segments.json").write_text(json.dumps({"coordinate": "actual_distance_m", "segments": [{"id": "one", "start": 0, "end": 40}, {"id": "two", "start": 90, "end": 10}]}))
     sessions = [{"replay": "AC_300726-155603_R_car_ring.rec", "setup": "a.ini"}, {"replay": "AC_310726-155603_R_car_ring.rec", "setup": "b.ini", "session_label": "second"}]
     (root / "dataset.json").write_text(json.dumps({"segments": "segments.json", "sessions": sessions}))
-    specs, segment_path = dataset.session_specs(str(root / "dataset.json"))
+    specs, segment_path = dataset.session_specs(spark, str(root / "dataset.json"))
     return root, dataset.preprocess(spark, specs, str(root / "out"), segment_path)
 
 
@@ -61,8 +62,8 @@ def test_commands(spark, built, capsys, monkeypatch):
 def test_findings(spark, built):
     root, manifest = built
     damaged = root / "damaged"
-    dataset.Store(str(damaged)).write("laps", dataset.read_table(spark, str(root / "out"), "laps"))
-    dataset.dump(str(damaged / "manifest.json"), {**manifest, "tables": {"laps": {"path": "laps.parquet", "rows": 1, "columns": 44}, "samples": {"path": "samples.parquet", "rows": 1}}})
+    dataset.Store(spark, str(damaged)).write("laps", dataset.read_table(spark, str(root / "out"), "laps"))
+    Files(spark).dump(str(damaged / "manifest.json"), {**manifest, "tables": {"laps": {"path": "laps.parquet", "rows": 1, "columns": 44}, "samples": {"path": "samples.parquet", "rows": 1}}})
     codes = {w["code"] for w in dataset.validate(spark, str(damaged))["warnings"]}
     assert codes == {"MISSING_TABLES", "ROW_COUNT_MISMATCH", "MISSING_TABLE_FILE"}
     with pytest.raises(ValueError):

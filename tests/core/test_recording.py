@@ -56,18 +56,18 @@ def r_path(path):
     return F.lit(f"file:{path}")
 
 
-def test_text_export(tmp_path):
+def test_text_export(spark, tmp_path):
     assert len(frame_csv.labels()) == 107
     source = tmp_path / "race.rec"
     source.write_bytes(build(n=5, lap_frames=2))
-    out = frame_csv.convert(str(source), f"{tmp_path}/out/")
+    out = frame_csv.convert(spark, str(source), f"{tmp_path}/out/")
     assert [p.name for p in out] == ["race_Ann.csv", "race_Bob.csv"]
     body = out[0].read_text().splitlines()
     assert body[0] == "# formatVersion 2" and "# driverName Ann" in body
     header = next(x for x in body if x.startswith("frame,")).split(",")
     first = body[-5].split(",")
     assert len(header) == len(first) == 122 and first[header.index("position.x")] == "1.25" and first[header.index("lights")] == "true"
-    assert frame_csv.convert(str(source), f"{tmp_path}/out/", "Ann")[0].name == "race.csv"
-    assert frame_csv.convert(str(source), f"{tmp_path}/out/", "Ann")[0].name == "race (2).csv"
+    assert frame_csv.convert(spark, str(source), f"{tmp_path}/out/", "Ann")[0].name == "race.csv"
+    assert frame_csv.convert(spark, str(source), f"{tmp_path}/out/", "Ann")[0].name == "race (2).csv"
     with pytest.raises(r.RecordingError):
         r.scan(io.BytesIO(b"\x10\x00"), 2)
