@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pitwall import adapter
+from pitwall import adapter, roundtrip_oracles, roundtrips
 from pitwall.functions.expressions import recorded_at, stable_id
-from pitwall.oracles import ORACLES  # noqa: F401
+from pitwall import oracles
 from pitwall.operators import channels, events, islands, laps, segments, setups, stats
+from pitwall.sources.files import scratch
 
 DIGITS = 6
 
@@ -29,12 +30,19 @@ def _derived(spark, sf_dir):
     return channels.derive(_raw(spark, sf_dir))
 
 
+def _staged(spark, sf_dir):
+    """The samples written and read back, for queries that read them more than once."""
+    path = scratch(spark, "derived")
+    _derived(spark, sf_dir).write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
+
+
 def _laps(spark, sf_dir):
     return laps.build(_derived(spark, sf_dir))
 
 
 def _passes(spark, sf_dir):
-    derived = _derived(spark, sf_dir)
+    derived = _staged(spark, sf_dir)
     return segments.passes(derived, laps.build(derived), segments.expand(adapter.DEFINITIONS))
 
 
@@ -62,13 +70,13 @@ def _gap_close(spark, sf_dir):
 
 
 def _lap_counts(spark, sf_dir):
-    derived = _derived(spark, sf_dir)
+    derived = _staged(spark, sf_dir)
     counted = laps.with_event_counts(laps.build(derived), events.detect_all(derived))
     return counted.select("session_id", "lap_id", "braking_event_count", "shift_count", "lockup_event_count", "wheelspin_event_count")
 
 
 def _rollup(spark, sf_dir):
-    derived = _derived(spark, sf_dir)
+    derived = _staged(spark, sf_dir)
     rolled = laps.sessions(derived, laps.build(derived))
     label = laps.session_label(F.lit("recording"), F.when(F.col("session_id").cast("long") % 2 == 0, F.concat(F.lit("driver "), "session_id")).otherwise(""), F.concat(F.lit("car "), "session_id"), F.when(F.col("session_id").cast("long") % 5 == 0, 1).otherwise(2))
     return rolled.withColumn("session_label", label)
@@ -84,7 +92,7 @@ def _statistics(spark, sf_dir):
 
 
 def _counts(spark, sf_dir):
-    derived = _derived(spark, sf_dir)
+    derived = _staged(spark, sf_dir)
     return stats.dataset_counts(_sessions(spark, sf_dir), laps.build(derived), channels.position_jumps(derived))
 
 
@@ -157,4 +165,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "stable_ids": _ids,
     "filename_datetime": _file_times,
 }
-
+QUERIES |= roundtrips.QUERIES
+ORACLES = oracles.ORACLES | roundtrip_oracles.ORACLES

@@ -9,6 +9,15 @@ ALL = "ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING"
 PI = "3.141592653589793"
 
 
+def _mean(a: str, b: str) -> str:
+    """Of what is there."""
+    return f"CASE WHEN {a} IS NULL THEN {b} WHEN {b} IS NULL THEN {a} ELSE ({a} + {b}) / 2 END"
+
+
+def _sum(a: str, b: str) -> str:
+    return f"CASE WHEN {a} IS NULL THEN {b} WHEN {b} IS NULL THEN {a} ELSE {a} + {b} END"
+
+
 def _id(*parts: str) -> str:
     return "substr(sha256(" + " || chr(31) || ".join(f"coalesce(CAST({p} AS VARCHAR), 'None')" for p in parts) + "), 1, 16)"
 
@@ -20,21 +29,21 @@ e AS (
     sum(CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id {RUN}) AS signups
   FROM events),
 raw AS (
-  SELECT CAST(user_id AS VARCHAR) AS session_id, sample_index, sample_index AS source_frame, CAST(60 AS DOUBLE) AS interval_ms,
+  SELECT CAST(user_id AS VARCHAR) AS session_id, sample_index, sample_index + sample_index // 10 AS source_frame, CAST(60 AS DOUBLE) AS interval_ms,
     CAST(signups // 2 AS BIGINT) AS source_lap_number,
     (epoch_us(ts) - epoch_us(first_value(ts) OVER (PARTITION BY user_id, signups ORDER BY ts, event_id))) // 1000 AS lap_time_ms,
     1000 * (event_id * 11 % 5) AS last_lap_ms,
     sum(value / 20 * CAST(0.6 AS DOUBLE)) OVER (PARTITION BY user_id ORDER BY ts, event_id {RUN}) AS position_x,
     sum(value / 20 * CAST(0.8 AS DOUBLE)) OVER (PARTITION BY user_id ORDER BY ts, event_id {RUN}) AS position_z,
-    value / CAST(3.6 AS DOUBLE) * CAST(0.6 AS DOUBLE) AS velocity_x, value / CAST(3.6 AS DOUBLE) * CAST(0.8 AS DOUBLE) AS velocity_z,
-    CAST(event_id * 29 % 628 - 314 AS DOUBLE) / 100 AS yaw, k * 255 / 100 AS gas,
-    CAST(greatest(0, event_id * 37 % 100 - 50) AS DOUBLE) * 255 / 50 AS brake, CAST(event_id * 5 % 256 AS DOUBLE) AS clutch,
+    CASE WHEN event_id % 59 <> 0 THEN value / CAST(3.6 AS DOUBLE) * CAST(0.6 AS DOUBLE) END AS velocity_x, value / CAST(3.6 AS DOUBLE) * CAST(0.8 AS DOUBLE) AS velocity_z,
+    CASE WHEN event_id % 29 <> 0 THEN CAST(event_id * 29 % 628 - 314 AS DOUBLE) / 100 END AS yaw, CASE WHEN event_id % 47 <> 0 THEN k * 255 / 100 END AS gas,
+    CASE WHEN event_id % 53 <> 0 THEN CAST(greatest(0, event_id * 37 % 100 - 50) AS DOUBLE) * 255 / 50 END AS brake, CAST(event_id * 5 % 256 AS DOUBLE) AS clutch,
     CAST(event_id % 21 - 10 AS DOUBLE) / 10 AS steer, event_id % 7 AS gear_raw, CAST(1000 + event_id * 17 % 7000 AS DOUBLE) AS rpm,
     CAST(100 AS DOUBLE) - sample_index * CAST(0.1 AS DOUBLE) AS fuel,
-    CAST(event_id * 13 % 100 - 50 AS DOUBLE) / 100 AS slip_fl, CAST(event_id * 17 % 100 - 50 AS DOUBLE) / 100 AS slip_fr,
-    CAST(event_id * 23 % 100 - 50 AS DOUBLE) / 100 AS slip_rl, CAST(event_id * 19 % 100 - 50 AS DOUBLE) / 100 AS slip_rr,
-    CAST(event_id * 7 % 4000 AS DOUBLE) AS load_fl, CAST(event_id * 11 % 4000 AS DOUBLE) AS load_fr,
-    CAST(event_id * 13 % 4000 AS DOUBLE) AS load_rl, CAST(event_id * 17 % 4000 AS DOUBLE) AS load_rr
+    CASE WHEN event_id % 31 <> 0 THEN CAST(event_id * 13 % 100 - 50 AS DOUBLE) / 100 END AS slip_fl, CASE WHEN event_id % 31 > 1 THEN CAST(event_id * 17 % 100 - 50 AS DOUBLE) / 100 END AS slip_fr,
+    CASE WHEN event_id % 37 <> 0 THEN CAST(event_id * 23 % 100 - 50 AS DOUBLE) / 100 END AS slip_rl, CASE WHEN event_id % 37 > 1 THEN CAST(event_id * 19 % 100 - 50 AS DOUBLE) / 100 END AS slip_rr,
+    CASE WHEN event_id % 41 <> 0 THEN CAST(event_id * 7 % 4000 AS DOUBLE) END AS load_fl, CASE WHEN event_id % 41 NOT IN (0, 2) THEN CAST(event_id * 11 % 4000 AS DOUBLE) END AS load_fr,
+    CASE WHEN event_id % 43 <> 0 THEN CAST(event_id * 13 % 4000 AS DOUBLE) END AS load_rl, CASE WHEN event_id % 43 NOT IN (0, 3) THEN CAST(event_id * 17 % 4000 AS DOUBLE) END AS load_rr
   FROM e)"""
 
 SEGMENTED = f"""
@@ -56,23 +65,24 @@ timed AS (
 DERIVED = f"""
 pedals AS (
   SELECT *, least(greatest(gas / 255, 0), 1) AS throttle, least(greatest(brake / 255, 0), 1) AS brake_n,
-    sqrt(velocity_x * velocity_x + velocity_z * velocity_z) AS speed_ms
+    coalesce(velocity_x, 0) AS vx, coalesce(velocity_z, 0) AS vz, sqrt(vx * vx + vz * vz) AS speed_ms,
+    coalesce(last_value(yaw IGNORE NULLS) OVER ({WS} {RUN}), 0) AS yaw_f
   FROM timed),
 moved AS (
   SELECT *, speed_ms * CAST(3.6 AS DOUBLE) AS speed_kmh,
-    coalesce((velocity_x - lag(velocity_x) OVER ({WS})) / greatest(dt_s, 1e-6), 0) AS ax,
-    coalesce((velocity_z - lag(velocity_z) OVER ({WS})) / greatest(dt_s, 1e-6), 0) AS az,
-    CASE WHEN speed_ms > 1 THEN velocity_x / speed_ms ELSE 0 END AS ux, CASE WHEN speed_ms > 1 THEN velocity_z / speed_ms ELSE 0 END AS uz,
-    coalesce(yaw - lag(yaw) OVER ({WS}), 0) AS turn,
+    coalesce((vx - lag(vx) OVER ({WS})) / greatest(dt_s, 1e-6), 0) AS ax,
+    coalesce((vz - lag(vz) OVER ({WS})) / greatest(dt_s, 1e-6), 0) AS az,
+    CASE WHEN speed_ms > 1 THEN vx / speed_ms ELSE 0 END AS ux, CASE WHEN speed_ms > 1 THEN vz / speed_ms ELSE 0 END AS uz,
+    coalesce(yaw_f - lag(yaw_f) OVER ({WS}), 0) AS turn,
     sqrt(pow(coalesce(position_x - lag(position_x) OVER ({WL}), 0), 2) + pow(coalesce(position_z - lag(position_z) OVER ({WL}), 0), 2)) AS step_m
   FROM pedals),
 turned AS (
   SELECT *, ax * ux + az * uz AS long_accel_ms2, ux * az - uz * ax AS lat_accel_ms2,
-    yaw - 2 * {PI} * sum(CASE WHEN turn > {PI} THEN 1 WHEN turn < -{PI} THEN -1 ELSE 0 END) OVER ({WS} {RUN}) AS yaw_rad,
+    yaw_f - 2 * {PI} * sum(CASE WHEN turn > {PI} THEN 1 WHEN turn < -{PI} THEN -1 ELSE 0 END) OVER ({WS} {RUN}) AS yaw_rad,
     sum(CASE WHEN step_m > 10 THEN 0 ELSE step_m END) OVER ({WL} {RUN}) AS actual_distance_m,
     CASE WHEN gear_raw >= 2 THEN gear_raw - 1 ELSE 0 END AS gear_physical,
-    (slip_fl + slip_fr) / 2 AS front_mean, (slip_rl + slip_rr) / 2 AS rear_mean, least(slip_fl, slip_fr) AS front_min, greatest(slip_rl, slip_rr) AS rear_max,
-    load_rl + load_rr AS rear_load
+    {_mean('slip_fl', 'slip_fr')} AS front_mean, {_mean('slip_rl', 'slip_rr')} AS rear_mean, least(slip_fl, slip_fr) AS front_min, greatest(slip_rl, slip_rr) AS rear_max,
+    {_sum('load_rl', 'load_rr')} AS rear_load
   FROM moved),
 ranged AS (SELECT *, last_value(actual_distance_m) OVER ({WL} {ALL}) AS lap_distance FROM turned),
 d AS (
@@ -83,8 +93,8 @@ d AS (
     throttle >= CAST(0.05 AS DOUBLE) AND throttle < CAST(0.98 AS DOUBLE) AND brake_n < CAST(0.05 AS DOUBLE) AS is_partial_throttle,
     brake_n >= CAST(0.1 AS DOUBLE) AS is_braking, throttle < CAST(0.05 AS DOUBLE) AND brake_n < CAST(0.05 AS DOUBLE) AS is_coasting,
     throttle >= CAST(0.05 AS DOUBLE) AND brake_n >= CAST(0.1 AS DOUBLE) AS is_brake_throttle_overlap,
-    brake_n >= CAST(0.1 AS DOUBLE) AND speed_kmh >= 80 AND front_min <= CAST(-0.25 AS DOUBLE) AS is_front_lock_candidate,
-    throttle >= CAST(0.5 AS DOUBLE) AND speed_kmh >= 30 AND rear_max >= CAST(0.08 AS DOUBLE) AS is_rear_wheelspin_candidate,
+    coalesce(brake_n >= CAST(0.1 AS DOUBLE) AND speed_kmh >= 80 AND front_min <= CAST(-0.25 AS DOUBLE), false) AS is_front_lock_candidate,
+    coalesce(throttle >= CAST(0.5 AS DOUBLE) AND speed_kmh >= 30 AND rear_max >= CAST(0.08 AS DOUBLE), false) AS is_rear_wheelspin_candidate,
     lap_time_s IS NOT NULL AND speed_kmh IS NOT NULL AS is_valid_sample
   FROM ranged)"""
 
@@ -186,7 +196,7 @@ t_e AS (
     arg_min(lap_time_s, sample_index) FILTER (WHERE throttle >= CAST(0.5 AS DOUBLE)) - arg_min(lap_time_s, sample_index) AS time_to_50pct_s,
     arg_min(lap_time_s, sample_index) FILTER (WHERE throttle >= CAST(0.98 AS DOUBLE)) - arg_min(lap_time_s, sample_index) AS time_to_full_throttle_s,
     arg_min(steer, sample_index) AS steer_at_pickup, arg_min(steer, sample_index) FILTER (WHERE throttle >= CAST(0.98 AS DOUBLE)) AS steer_at_full_throttle,
-    arg_min(yaw_rate_rad_s, sample_index) AS yaw_rate_at_pickup_rad_s, arg_min(rear_max, sample_index) AS rear_slip_at_pickup, max(rear_max) AS rear_slip_peak,
+    arg_min(yaw_rate_rad_s, sample_index) AS yaw_rate_at_pickup_rad_s, first(rear_max ORDER BY sample_index) AS rear_slip_at_pickup, max(rear_max) AS rear_slip_peak,
     count(DISTINCT sign(steer)) > 1 AS countersteer_proxy, coalesce(bool_or(change < CAST(-0.2 AS DOUBLE)), false) AS throttle_lift_within_event,
     sum(throttle * greatest(rear_max, 0) * dt_s) AS tc_activity_proxy
   FROM t_d GROUP BY session_id, lap_id, run_id),
@@ -210,7 +220,7 @@ def _wheel(name: str, flag: str, a: str, b: str, lowest: bool) -> str:
     f, op = ("min", "<=") if lowest else ("max", ">=")
     return f"""{_runs(name + "r", flag, 0.045)},
 {name} AS (
-  SELECT session_id, lap_id, run_id, {EVENT_BASE}, CASE WHEN {f}(slip_{a}) {op} {f}(slip_{b}) THEN '{a}' ELSE '{b}' END AS primary_wheel,
+  SELECT session_id, lap_id, run_id, {EVENT_BASE}, CASE WHEN {f}(slip_{b}) IS NULL OR {f}(slip_{a}) {op} {f}(slip_{b}) THEN '{a}' ELSE '{b}' END AS primary_wheel,
     {"least" if lowest else "greatest"}({f}(slip_{a}), {f}(slip_{b})) AS extreme_slip_ratio, arg_min(speed_kmh, sample_index) AS entry_speed_kmh,
     avg(brake_n) AS mean_brake, avg(throttle) AS mean_throttle, avg(abs(steer)) AS mean_abs_steer
   FROM {name}r GROUP BY session_id, lap_id, run_id HAVING sum(dt_s) >= CAST(0.03 AS DOUBLE))"""
@@ -281,13 +291,13 @@ ORACLES: dict[str, str] = {
     "lap_segments": f"WITH {RAW},{SEGMENTED} SELECT session_id, sample_index, lap_segment_index, lap_id, {_r('lap_time_s')} FROM seg",
     "dt_timestamp": f"WITH {RAW},{TIMED.replace('{source}', 'raw')} SELECT session_id, sample_index, {_r('timestamp_s', 'dt_s')} FROM timed",
     "pedal_normalize": _samples("", "gas AS throttle_raw", "brake AS brake_raw", "throttle", "brake_n"),
-    "clutch_conditional_scale": f"WITH {RAW} SELECT session_id, sample_index, {_r('clutch AS clutch_raw', 'least(greatest(CASE WHEN max(clutch) OVER (PARTITION BY session_id) > 1.5 THEN clutch / 255 ELSE clutch END, 0), 1) AS clutch_n')} FROM raw",
+    "clutch_conditional_scale": f"WITH {RAW} SELECT session_id, sample_index, {_r('clutch AS clutch_raw', 'coalesce(least(greatest(CASE WHEN max(clutch) OVER (PARTITION BY session_id) > 1.5 THEN clutch / 255 ELSE clutch END, 0), 1), 0) AS clutch_n')} FROM raw",
     "speed_norm": _samples("", "speed_ms", "speed_kmh"),
     "accel_lag": _samples("", "ax AS accel_world_x_ms2", "az AS accel_world_z_ms2"),
     "long_lat_g": _samples("", "long_accel_ms2", "lat_accel_ms2", "long_g", "lat_g"),
     "yaw_unwrap": _samples("", "yaw_rad", "yaw_rate_rad_s"),
     "gear_physical": _samples("gear_raw, gear_physical"),
-    "wheel_row_aggs": _samples("", "front_mean AS front_mean_slip_ratio", "rear_mean AS rear_mean_slip_ratio", "front_min AS front_slip_ratio_min", "rear_max AS rear_slip_ratio_max", "load_fl + load_fr AS front_total_load", "rear_load AS rear_total_load", "load_fl + load_rl AS left_total_load", "load_fr + load_rr AS right_total_load"),
+    "wheel_row_aggs": _samples("", "front_mean AS front_mean_slip_ratio", "rear_mean AS rear_mean_slip_ratio", "front_min AS front_slip_ratio_min", "rear_max AS rear_slip_ratio_max", _sum("load_fl", "load_fr") + " AS front_total_load", "rear_load AS rear_total_load", _sum("load_fl", "load_rl") + " AS left_total_load", _sum("load_fr", "load_rr") + " AS right_total_load"),
     "sample_flags": _samples("is_moving, is_full_throttle, is_partial_throttle, is_braking, is_coasting, is_brake_throttle_overlap, is_front_lock_candidate, is_rear_wheelspin_candidate, is_valid_sample"),
     "lap_distance": _samples("", "actual_distance_m"),
     "lap_progress": _samples("'cumulative_distance_proxy' AS progress_source, CASE WHEN progress IS NULL THEN 0.0::DOUBLE ELSE 0.55::DOUBLE END AS progress_confidence", "progress AS normalized_actual_distance", "progress"),
