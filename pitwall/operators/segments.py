@@ -8,9 +8,10 @@ from pyspark.sql.window import Window
 
 COORDINATES = {"actual_distance_m": "actual_distance_m", "normalized_progress": "progress"}
 PICKUP, FULL = 0.05, 0.98
-#: Definitions up to this number are broadcast; more are met by bucketed equi-join.
-BROADCAST_DEFINITIONS = 2_000
-CELLS = 1_000
+#: Definitions up to this number are compared with every sample; more are met by an equi-join on cells of the coordinate.
+COMPARED = 12
+#: Cells of the coordinate at most, and rows of definitions by cell that are broadcast at most.
+CELLS, BROADCAST_ROWS = 1_000, 100_000
 DEFINITION = "segment_id string, segment_name string, parent_segment_id string, coordinate string, segment_start double, segment_end double"
 
 
@@ -44,14 +45,16 @@ def members(samples: DataFrame, definitions: DataFrame, coordinate: str, count:
     at = F.col(COORDINATES[coordinate])
     placed = samples.withColumn("__at", at).where("__at IS NOT NULL AND NOT isnan(__at)")
     start, end = F.col("segment_start"), F.col("segment_end")
-    if count <= BROADCAST_DEFINITIONS:
-        return placed.join(F.broadcast(definitions), _inside(F.col("__at"), start, end))
+    if count <= COMPARED:
+        return placed.join(F.broadcast(definitions), _inside(F.col("__at"), start, end))  # COMPARED rows at most
     # Cells of equal width over the range of bounds; beyond it a sample lies in the outermost cell.
     lo, hi = definitions.agg(F.min(F.least(start, end)), F.max(F.greatest(start, end))).first()
-    width = max((hi - lo) / CELLS, 1e-9)
-    cell = lambda x: F.least(F.greatest(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(-1)), F.lit(CELLS)).cast("int")
-    cells = F.when(start <= end, F.sequence(cell(start), cell(end))).otherwise(F.array_union(F.sequence(cell(start), F.lit(CELLS)), F.sequence(F.lit(-1), cell(end))))
+    number = max(16, min(CELLS, BROADCAST_ROWS // count))
+    width = max((hi - lo) / number, 1e-9)
+    cell = lambda x: F.least(F.greatest(F.floor((x - F.lit(lo)) / F.lit(width)), F.lit(-1)), F.lit(number)).cast("int")
+    cells = F.when(start <= end, F.sequence(cell(start), cell(end))).otherwise(F.array_union(F.sequence(cell(start), F.lit(number)), F.sequence(F.lit(-1), cell(end))))
     spread = definitions.withColumn("__cell", F.explode(cells))
+    spread = F.broadcast(spread) if count * (number + 2) <= 2 * BROADCAST_ROWS else spread
     return placed.withColumn("__cell", cell(F.col("__at"))).join(spread, "__cell").where(_inside(F.col("__at"), start, end)).drop("__cell")
 
 
