@@ -1,40 +1,43 @@
 """Rule-based quality filter as a short-circuit cascade, in DataFrame expressions only.
 
 Every document gets the base statistics. The rules behind the base test are
-predicates over the text; :func:`plan_cascade` measures each one's cost and
-rejection share on a bounded sample and orders them by rejection per cost, and
-:func:`apply_rules` evaluates them as one lazy OR, so that a document that an early
+predicates over the text; :func:`plan_cascade` estimates each one's cost and
+rejection share on a sample and orders them by rejection per cost, and
+:func:`apply_rules` evaluates them as one lazy CASE, so that a document that an early
 rule rejects never pays for a later one. The order changes the cost, never the verdict.
 
+The sample is drawn from all rows with equal probability, SAMPLE_ROWS of them on average. A rule's cost is the mean number of operations that it
+declares for a document (characters met, times what one costs), not a time, so that the order is the same on every run.
+
 Defined results: a null or empty text has no words and fails the base test; a
-text without white space is one word; repeated rows are judged alike; an empty
+text without white space is one word; repeated rows are judged alike; a row without a doc_id is judged like any other; an empty
 table gives an empty table; other input columns, whatever their names, pass
-through untouched unless they carry a name of a result column, which is replaced.
+through untouched unless they carry the name of a result column in any case, which is replaced.
 """
 
 from __future__ import annotations
 
-import time
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, WORD
+from .common import SPACE, WORD, discard, isolated, restored, written
 
-#: Rows of the sample on which cost and selectivity are estimated.
+#: Rows of the sample, on average, on which cost and selectivity are estimated.
 SAMPLE_ROWS = 600
-#: Times that each sampled row counts while a rule is timed.
-REPEATS = 8
 BASE = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
+#: Operations for a character: of a plain search, and of a regular expression that copies what it keeps.
+SEARCH, PATTERN = 1, 12
 
 
 @dataclass(frozen=True)
 class Rule:
-    """``fails`` is an SQL predicate over ``text`` and the base statistics, never null."""
+    """``fails`` is an SQL predicate over ``text`` and the base statistics, never null; ``work`` the SQL number of its operations for a document."""
 
     name: str
     fails: str
+    work: str = "4"
 
 
 @dataclass(frozen=True)
@@ -53,14 +56,15 @@ def _left(keep: str) -> str:
     return f"length(regexp_replace(text, '[^{keep}]+', ''))"
 
 
+_MATCHED = f"{PATTERN} * length(text)"
 RULES = (
     Rule("word_length", "word_chars < 2 * n_words OR word_chars > 14 * n_words"),
     Rule("symbols", "10 * n_symbols > n_words"),
-    Rule("duplicate_lines", "2 * n_dup_lines > (1 + length(text) - length(replace(text, '\n', '')))"),
-    Rule("letters", f"10 * {_left(r'\\p{L}')} < 6 * word_chars"),
-    Rule("capitals", f"10 * {_left(r'\\p{Lu}')} > 4 * word_chars"),
-    Rule("exclamations", f"10 * {_left('!')} > 3 * n_words"),
-    Rule("digits", f"10 * {_left('0-9')} > 3 * word_chars"),
+    Rule("duplicate_lines", "2 * n_dup_lines > (1 + length(text) - length(replace(text, '\n', '')))", f"{SEARCH} * length(text)"),
+    Rule("letters", f"10 * {_left(r'\\p{L}')} < 6 * word_chars", _MATCHED),
+    Rule("capitals", f"10 * {_left(r'\\p{Lu}')} > 4 * word_chars", _MATCHED),
+    Rule("exclamations", f"10 * {_left('!')} > 3 * n_words", _MATCHED),
+    Rule("digits", f"10 * {_left('0-9')} > 3 * word_chars", _MATCHED),
 )
 
 
@@ -99,21 +103,21 @@ def repeated_words(words: Column) -> Column:
     return F.when(F.size(words) < 3, F.lit(0).cast("long")).otherwise(_let(words, count))
 
 
-def with_statistics(docs: DataFrame, text: str = "text") -> DataFrame:
-    """Add the base statistics (long); the text is made non-null."""
-    body = F.coalesce(F.col(text).cast("string"), F.lit(""))
-    columns = [c for c in docs.columns if c not in BASE and c not in (text, "text")]
+def with_statistics(own: DataFrame) -> DataFrame:
+    """Add the base statistics (long) to a table with ``text``, which is made non-null."""
+    body = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rest = [c for c in own.columns if c != "text"]
     return (
-        docs.select(*[F.col(f"`{c}`") for c in columns], body.alias("text"), F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("__words"))
+        own.select(*rest, body.alias("text"), F.regexp_extract_all(body, F.lit(WORD), F.lit(0)).alias("words"))
         .select(
             "*",
-            F.size("__words").cast("long").alias("n_words"),
+            F.size("words").cast("long").alias("n_words"),
             F.length(F.regexp_replace("text", SPACE, "")).cast("long").alias("word_chars"),
             F.length(F.regexp_replace("text", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"),
             _let(F.filter(F.split(F.col("text"), "\n", -1), lambda x: x.rlike(WORD)), lambda x: (F.size(x) - F.size(F.array_distinct(x))).cast("long")).alias("n_dup_lines"),
-            repeated_words(F.col("__words")).alias("n_repeat_words"),
+            repeated_words(F.col("words")).alias("n_repeat_words"),
         )
-        .drop("__words")
+        .drop("words")
     )
 
 
@@ -122,40 +126,32 @@ def base_failed() -> Column:
 
 
 def plan_cascade(docs: DataFrame, rules=RULES, text: str = "text", rows: int = SAMPLE_ROWS) -> list[Planned]:
-    """Order ``rules`` by rejection per cost, both measured on at most ``rows`` sampled documents.
+    """Order ``rules`` by rejection per cost, both estimated on a sample of all documents, ``rows`` on average.
 
-    The cost is the time of a job that evaluates the rule on the sample, less that of an
-    empty job. Documents that fail the base test don't count: no rule sees them.
+    Documents that fail the base test don't count: no rule sees them. Ties keep the order of names.
     """
-    # take() reads only as many partitions as it needs, however large the table.
-    taken = docs.select(F.col(f"`{text}`").cast("string").alias("text")).sample(0.2, seed=11).take(rows)
-    sample = with_statistics(docs.sparkSession.createDataFrame(taken, "text string")).where(~base_failed()).withColumn("__copy", F.explode(F.array_repeat(F.lit(0), REPEATS))).persist()
-    try:
-        n = max(1, sample.count())
-
-        def timed(condition: str) -> tuple[float, int]:
-            took, hits = [], 0
-            for _ in range(2):
-                began = time.perf_counter()
-                hits = sample.agg(F.count_if(F.expr(condition)).alias("n")).first()["n"]
-                took.append(time.perf_counter() - began)
-            return min(took), hits
-
-        idle, _ = timed("length(text) < 0")
-        planned = []
-        for rule in rules:
-            took, hits = timed(rule.fails)
-            planned.append(Planned(rule, max(took - idle, 1e-4), (hits + 0.5) / (n + 1)))
-    finally:
-        sample.unpersist()
+    share = min(1.0, rows / max(1, docs.count()))
+    sample = written(with_statistics(isolated(docs, text=text).select("text").sample(share, seed=11)).where(~base_failed()), "sample")
+    found = sample.agg(F.count("*").alias("n"), *[F.count_if(F.expr(r.fails)).alias(f"hits{i}") for i, r in enumerate(rules)], *[F.avg(F.expr(r.work).cast("double")).alias(f"work{i}") for i, r in enumerate(rules)]).first()
+    discard(sample)
+    planned = [Planned(r, max(found[f"work{i}"] or 1.0, 1.0), (found[f"hits{i}"] + 0.5) / (found["n"] + 1)) for i, r in enumerate(rules)]
     return sorted(planned, key=lambda p: (-p.rank, p.rule.name))
 
 
 def apply_rules(docs: DataFrame, order: list[Planned] | None = None, rules=RULES, text: str = "text") -> DataFrame:
     """Add the statistics, ``base_failed`` and ``kept``; plans the cascade unless an order is given."""
+    return restored(_judged(docs, order, rules, text), docs, added={name: F.col(name) for name in (*BASE, "base_failed", "kept")})
+
+
+def keep_good(docs: DataFrame, order: list[Planned] | None = None, rules=RULES, text: str = "text") -> DataFrame:
+    """The documents that no rule rejects, in their own columns only."""
+    return restored(_judged(docs, order, rules, text).where("kept"), docs)
+
+
+def _judged(docs: DataFrame, order: list[Planned] | None, rules, text: str) -> DataFrame:
     order = plan_cascade(docs, rules, text) if order is None else order
     verdict = F.expr(" ".join(["CASE WHEN base_failed THEN false", *(f"WHEN {p.rule.fails} THEN false" for p in order), "ELSE true END"]))
-    return with_statistics(docs, text).withColumn("base_failed", base_failed()).withColumn("kept", verdict)
+    return with_statistics(isolated(docs, text=text)).withColumn("base_failed", base_failed()).withColumn("kept", verdict)
 
 
 def op1(spark, sf_dir: str) -> DataFrame:
