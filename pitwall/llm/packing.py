@@ -1,18 +1,18 @@
 """Lexical retrieval packing: windows filled with a seed document and its BM25 neighbours.
 
 1. Documents are tokenised once and written with a lexical sketch (a min-hash of their token pairs).
-2. Sorting by sketch puts related documents next to each other; ranges of equal size are
-   shards, and a large group of equal documents may spread over several of them.
-3. In a shard, blocks of BLOCK_TOKENS get an inverted BM25 index over token ids. A window starts with
-   a seed (what the last window cut off, else the next unused document); the seed's QUERY_TERMS
-   weightiest terms retrieve unused neighbours, which fill the window best first. The document that
+2. Sorting by sketch puts related documents next to each other; ranges of about SHARD_TOKENS are
+   shards, whatever the session's number of partitions, and a large group of equal documents may spread over several of them.
+3. A shard gets one inverted BM25 index over the token ids of all its documents. A window starts with
+   a seed (what the last window cut off, else the next unused document); all its terms
+   retrieve unused neighbours, which fill the window best first. The document that
    reaches the end is cut there and its rest seeds the next window.
 4. The last, short window of a shard is cut into sequences of a power of two, so nothing is padded.
 
-Memory is bounded by a block and its longest document. Each document is in one shard, hence each id in one piece.
+Memory is bounded by a shard and its longest document. Each document is in one shard, hence each id in one piece.
 
-Defined results: a null or empty text is its end token alone; equal documents are packed like
-others; an empty table gives an empty table; extra columns are ignored.
+Defined results: a null or empty text is its end token alone; equal documents, and rows that repeat a doc_id or have none, are packed like
+others; an empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -26,13 +26,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, scratch_path
-from .minhash import mixed
+from .common import arrow_map, documents_of, written
+from .words import mixed
 
 WINDOW = 2048
 END = 1
-BLOCK_TOKENS = 3_000_000
-QUERY_TERMS = 24
+SHARD_TOKENS = 4_000_000
 K1, B = 1.2, 0.75
 _TOKEN = np.dtype("<u4")
 
@@ -64,44 +63,40 @@ def unpack_ids(raw: bytes) -> np.ndarray:
 
 
 class Index:
-    """BM25 over the documents of a block: postings sorted by term, weights precomputed."""
+    """BM25 over the documents of a shard: postings sorted by term, weights precomputed."""
 
     def __init__(self, docs: list[np.ndarray]):
         n = len(docs)
         lengths = np.array([len(d) for d in docs], dtype=np.float64)
-        terms, counts, owners = [], [], []
-        for i, ids in enumerate(docs):
+        terms, counts = [], []
+        for ids in docs:
             t, c = np.unique(ids, return_counts=True)
             terms.append(t)
             counts.append(c)
-            owners.append(np.full(len(t), i, dtype=np.int32))
-        self.starts = np.concatenate([[0], np.cumsum([len(t) for t in terms])])
-        term, count, owner = np.concatenate(terms), np.concatenate(counts), np.concatenate(owners)
+        sizes = np.array([len(t) for t in terms])
+        self.starts = np.concatenate([[0], np.cumsum(sizes)])
+        term, count, owner = np.concatenate(terms), np.concatenate(counts), np.repeat(np.arange(n, dtype=np.int32), sizes)
         order = np.argsort(term, kind="stable")
-        self.distinct, first, df = np.unique(term[order], return_index=True, return_counts=True)
-        self.first, self.df = first, df
-        idf = np.log1p((n - df + 0.5) / (df + 0.5))
+        self.distinct, self.first, self.df = np.unique(term[order], return_index=True, return_counts=True)
+        idf = np.log1p((n - self.df + 0.5) / (self.df + 0.5))
         at = np.searchsorted(self.distinct, term)
         norm = K1 * (1 - B + B * lengths[owner] / max(lengths.mean(), 1.0))
-        weight = idf[at] * count * (K1 + 1) / (count + norm)
-        self.owner, self.weight = owner[order], weight[order].astype(np.float32)
-        self.term_of_doc, self.weight_of_doc = at, weight
+        self.owner, self.weight = owner[order], (idf[at] * count * (K1 + 1) / (count + norm))[order]
+        self.term_of_doc = at
+
+    def scores(self, doc: int) -> np.ndarray:
+        """BM25 of every document of the shard for the distinct terms of ``doc``."""
+        own = self.term_of_doc[self.starts[doc] : self.starts[doc + 1]]
+        own = own[self.df[own] > 1]
+        size = self.df[own]
+        at = np.repeat(self.first[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
+        return np.bincount(self.owner[at], self.weight[at], minlength=len(self.starts) - 1)
 
     def neighbours(self, doc: int, used: np.ndarray) -> np.ndarray:
-        """Unused documents that share a query term with ``doc``, best first, ties by position."""
-        lo, hi = self.starts[doc], self.starts[doc + 1]
-        own, weight = self.term_of_doc[lo:hi], self.weight_of_doc[lo:hi]
-        shared = self.df[own] > 1
-        own, weight = own[shared], weight[shared]
-        if len(own) > QUERY_TERMS:
-            own = own[np.argpartition(-weight, QUERY_TERMS)[:QUERY_TERMS]]
-        if not len(own):
-            return own
-        spans = [slice(self.first[t], self.first[t] + self.df[t]) for t in own]
-        docs = np.concatenate([self.owner[s] for s in spans])
-        scores = np.bincount(docs, np.concatenate([self.weight[s] for s in spans]))
+        """Unused documents that share a term with ``doc``, best first, ties by position."""
+        scores = self.scores(doc)
+        scores[used] = 0.0
         found = np.flatnonzero(scores)
-        found = found[~used[found]]
         return found[np.argsort(-scores[found], kind="stable")]
 
 
@@ -151,7 +146,7 @@ class Windows:
 
 
 def fill(ids: list, docs: list[np.ndarray], windows: Windows) -> None:
-    """Pack one block."""
+    """Pack one shard."""
     index, used = Index(docs), np.zeros(len(docs), dtype=bool)
     next_unused, seed, at = 0, None, 0
     while True:
@@ -183,17 +178,9 @@ def _pack(window: int):
         windows = Windows(TaskContext.get().partitionId() << 36, window)
         ids: list = []
         docs: list[np.ndarray] = []
-        held = 0
         for batch in batches:
-            for doc_id, raw in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                ids.append(doc_id)
-                docs.append(unpack_ids(raw.as_py()))
-                held += len(docs[-1])
-                if held >= BLOCK_TOKENS:
-                    fill(ids, docs, windows)
-                    ids, docs, held = [], [], 0
-                    if (out := windows.taken()) is not None:
-                        yield out
+            ids += batch.column(0).to_pylist()
+            docs += [unpack_ids(raw.as_py()) for raw in batch.column(1)]
         if docs:
             fill(ids, docs, windows)
         windows.finish()
@@ -203,16 +190,11 @@ def _pack(window: int):
     return run
 
 
-def pack(docs: DataFrame, window: int = WINDOW, tokenizer_path: str | None = None, shard_tokens: int = 20_000_000) -> DataFrame:
+def pack(docs: DataFrame, window: int = WINDOW, tokenizer_path: str | None = None, shard_tokens: int = SHARD_TOKENS) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset. ``window`` is a power of two."""
-    spark = docs.sparkSession
-    path = scratch_path(spark, "tokens")
-    schema = "doc_id long, n_tokens long, sketch long, ids binary"
-    source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    arrow_map(source, _tokenised(tokenizer_path), schema).write.option("compression", "zstd").parquet(path)
-    tokens = spark.read.schema(schema).parquet(path)
+    tokens = written(arrow_map(documents_of(docs), _tokenised(tokenizer_path), "doc_id long, n_tokens long, sketch long, ids binary"), "tokens", "zstd")
     total = tokens.agg(F.sum("n_tokens")).first()[0] or 0
-    shards = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // shard_tokens))
+    shards = max(1, -(-total // shard_tokens))
     dealt = tokens.select("sketch", "doc_id", "ids").repartitionByRange(shards, "sketch", "doc_id").sortWithinPartitions("sketch", "doc_id")
     return dealt.select("doc_id", "ids").mapInArrow(_pack(window), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
