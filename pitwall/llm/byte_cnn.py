@@ -2,7 +2,7 @@
 
 A document's bytes are cut into overlapping chunks that cover all of it (a chunk starts where the last
 filter position of the previous one ended, so no position is lost or seen twice). Learned byte
-embeddings and FILTERS filters of WIDTH bytes run over each chunk; each filter's outputs are max-pooled within
+embeddings and FILTERS filters of WIDTH bytes run over each chunk, STRIDE bytes from place to place (every byte lies in WIDTH / STRIDE windows); each filter's outputs are max-pooled within
 the chunk, and the chunks' values are combined by their maximum and their mean into a small
 hidden layer and one probability. Low-variety text fires few filters, odd characters fire their own.
 

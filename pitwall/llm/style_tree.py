@@ -3,13 +3,14 @@
 Pages of one host are merged into a style tree: a node is the path of presentation styles (tag,
 classes, id) from the root. For each node the counts over the host's pages of (a) the sequences of child styles
 and (b) the texts below it are aggregated, and their entropies, divided by that of all different
-pages, give the importance of its presentation and of its content. A branch that nearly every page repeats has low
-importance and is removed from each page. Hosts with fewer than MIN_PAGES pages say nothing about repetition.
+pages, give the importance of its presentation and of its content. Both are drawn towards 1 as if PRIOR more pages differed, so that few
+pages say little. A branch that nearly every page repeats has low importance and is removed from each page.
 
 Two kinds of knowledge come before the entropies: elements that are never main text by their meaning (scripts,
-navigation, footers, forms, names such as "ad" or "comments", articles that are comments) have importance 0. All other
+navigation, footers, forms, classes that are made of words such as "ad" or "comments" and of none with a meaning of its own, articles that are
+comments) have importance 0, as what they hold may differ on every page. All other
 branches are judged by the tree, inside and outside of articles and main elements. These are only a prior: where a page has no
-important one, a repeated one stays as it is, as copies of an article are no template.
+important one, a repeated one stays as it is, as copies of an article are no template. All walks are loops, so that markup may be nested to any depth.
 
 Only per-node sums are shuffled, pre-aggregated by each task; a hot host weighs no more than its number of
 different nodes and texts. The removed nodes of a host are joined by host, broadcast if measured to be small.
@@ -22,18 +23,22 @@ host and are cleaned by meaning only; an empty table gives an empty table; extra
 from __future__ import annotations
 
 import re
+from functools import lru_cache
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_map, written
+from .common import arrow_map, isolated, written
 
-MIN_PAGES = 5
+#: Pages that are taken to differ besides those seen. With them a node needs five equal pages to fall below THRESHOLD.
+PRIOR = 1.6
 THRESHOLD = 0.25
 GAMMA = 0.9
 LOW_BROADCAST = 32 << 20
+SALTS = 32
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+'|[\"'])*?)(/?)>|<[!?][^>]*(?:>|$)|</?[a-zA-Z][^>]*$|</?$", re.S)
 _NAMED = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
@@ -46,10 +51,18 @@ CLOSES_P = BLOCK - {"body", "html", "caption", "tbody", "td", "tfoot", "th", "th
 CLOSED_BY_SAME = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "option": ("select",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 #: Elements that hold no main text by their meaning.
 NEVER = frozenset("head script style noscript template iframe object svg canvas nav footer aside form button select textarea input label dialog menu title".split())
-NAMES = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|sponsor\w*|promo\w*|banner|nav\w*|menu\w*|breadcrumbs?|side-?bar|footer|foot|header|masthead|topbar|toolbar|cookies?|consent|gdpr|notice|popup|modal|overlay|newsletter|subscribe|signup|login|search|share|sharing|social|related|recommend\w*|comments?|commentlist|disqus|replies|respond|pagination|pager|widget|copyright|legal|skip-?link|hidden|sr-only)(?:$|[\s_-]|\d)",
-    re.I,
-)
+#: Words of names of page furniture.
+FURNITURE = frozenset(
+    "ad ads advert adverts advertisement advertisements advertising adsense sponsor sponsors sponsored promo promos promotion promotions banner banners nav navs navbar navigation menu menus breadcrumb breadcrumbs sidebar footer foot header masthead "
+    "topbar toolbar cookie cookies consent gdpr notice notices popup popups modal overlay newsletter subscribe subscription signup login share shares sharing social related recommend recommended recommendation recommendations comment comments "
+    "commentlist disqus reply replies respond pagination pager widget widgets copyright legal search skip hidden sr".split()
+)
+#: Words that add no meaning of their own to such a name.
+NEUTRAL = frozenset(
+    "area articles bar block body bottom box boxes button buttons by child column container content crumbs desktop fixed follow form global group holder icon icons inner item items js last layer left level line link links list lists main mobile more of only outer "
+    "page panel parent posts primary right row secondary section side site slot small sticky stories sub the this to top trail unit us user view wide wrap wrapper".split()
+)
+_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 ROLES = frozenset("navigation banner contentinfo complementary search dialog alert form menu menubar".split())
 LANDMARKS = frozenset(("article", "main"))
 #: Class of an article that is a comment.
@@ -57,12 +70,23 @@ COMMENT = re.compile(r"(?:^|\s)(?:user-?)?(?:comments?|repl(?:y|ies))(?:[_-]\w+)
 
 
 class Node:
-    __slots__ = ("tag", "style", "parent", "children", "items", "never")
+    __slots__ = ("tag", "style", "parent", "children", "items", "never", "key", "mass")
 
     def __init__(self, tag, style, parent, never):
         self.tag, self.style, self.parent, self.never = tag, style, parent, never
         self.children: list[Node] = []
         self.items: list = []  # texts and child nodes in page order
+        self.key, self.mass = 0, 0
+
+
+@lru_cache(maxsize=100_000)
+def furniture(value: str) -> bool:
+    """Whether one of the names in a class or id is made of FURNITURE, and at most of NEUTRAL words besides."""
+    for name in value.split():
+        parts = {x.lower() for x in _PART.findall(name)}
+        if parts & FURNITURE and parts <= FURNITURE | NEUTRAL:
+            return True
+    return False
 
 
 def _style(tag: str, attributes: str) -> tuple[str, bool]:
@@ -76,7 +100,7 @@ def _style(tag: str, attributes: str) -> tuple[str, bool]:
         if name in ("class", "id"):
             style += ("." if name == "class" else "#") + re.sub(r"\d+", "", value)
             never = never or tag == "article" and name == "class" and bool(COMMENT.search(value))
-            never = never or bool(NAMES.search(value)) and tag not in ("html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6")
+            never = never or tag not in ("html", "body", "article", "main", "h1", "h2", "h3", "h4", "h5", "h6") and furniture(value)
         elif name == "role":
             never = never or value.lower() in ROLES
         elif name == "style":
@@ -152,44 +176,40 @@ def _hash(value: str) -> int:
     return xxhash.xxh3_64_intdigest(value) - (1 << 63)
 
 
-def features(root: Node):
-    """(path, children's styles, content) hashes of every block with text; scripts and the like have none."""
-    out = []
-
-    def visit(node: Node, path: str) -> str:
-        path = f"{path}>{node.style}"
-        parts = [visit(x, path) if isinstance(x, Node) else " ".join(x.split()) for x in node.items if not (isinstance(x, Node) and x.tag in _RAW_END)]
-        text = " ".join(p for p in parts if p)
-        if text and node.parent is not None and node.tag in BLOCK:
-            out.append((_hash(path), _hash("|".join(c.style for c in node.children)), _hash(text)))
-        return text
+def walked(root: Node) -> list[Node]:
+    """All nodes, parents first, in page order; each gets the key of its path of styles."""
+    import xxhash
 
-    _deep(visit, root, "")
-    return out
+    order, stack = [], [root]
+    while stack:
+        node = stack.pop()
+        node.key = xxhash.xxh3_64_intdigest(node.style, node.parent.key if node.parent is not None else 0)
+        order.append(node)
+        stack += reversed(node.children)
+    return order
 
 
-def _deep(visit, *arguments):
-    """Very deep markup: let the recursion follow it."""
-    import sys
+def features(root: Node):
+    """(path, children's styles, content) hashes of every block with text; scripts and the like have none."""
+    import xxhash
 
-    limit = sys.getrecursionlimit()
-    try:
-        return visit(*arguments)
-    except RecursionError:
-        import threading
+    out = []
+    for node in reversed(walked(root)):
+        parts = []  # of the content: runs of text without their white space, and children with text
+        for x in node.items:
+            if isinstance(x, Node):
+                if x.mass and x.tag not in _RAW_END:
+                    parts.append(x.mass)
+            elif run := " ".join(x.split()):
+                parts.append(xxhash.xxh3_64_intdigest(run) | 1)
+        node.mass = 0 if not parts else parts[0] if len(parts) == 1 else xxhash.xxh3_64_intdigest(np.array(parts, dtype=np.uint64).tobytes()) | 1
+        if node.mass and node.parent is not None and node.tag in BLOCK:
+            out.append((_signed(node.key), _hash("|".join(c.style for c in node.children)), _signed(node.mass)))
+    return out
 
-        sys.setrecursionlimit(1_000_000)
-        threading.stack_size(512 << 20)
-        result: list = []
-        worker = threading.Thread(target=lambda: result.append(visit(*arguments)))
-        worker.start()
-        worker.join()
-        return result[0] if result else None
-    finally:
-        sys.setrecursionlimit(limit)
-        import threading
 
-        threading.stack_size(0)
+def _signed(key: int) -> int:
+    return key - (1 << 63)
 
 
 def main_text(root: Node, low: frozenset | set, only_landmarks: bool = True) -> str:
@@ -199,6 +219,7 @@ def main_text(root: Node, low: frozenset | set, only_landmarks: bool = True) ->
     """
     blocks: list[str] = []
     line: list[str] = []
+    walked(root)
 
     def end_block() -> None:
         if line:
@@ -207,63 +228,56 @@ def main_text(root: Node, low: frozenset | set, only_landmarks: bool = True) ->
                 blocks.append(text)
             line.clear()
 
-    def landmark(node: Node, path: str, found: list) -> None:
-        """Gathers the outermost landmarks and the paths around them."""
-        path = f"{path}>{node.style}"
-        for child in node.children:
-            if child.tag in LANDMARKS and not child.never:
-                found.append((child, path))
-            elif not child.never:
-                landmark(child, path, found)
+    found, stack = [], [root]  # the outermost landmarks
+    while stack:
+        node = stack.pop()
+        if node.tag in LANDMARKS and not node.never:
+            found.append(node)
+        elif not node.never:
+            stack += reversed(node.children)
+    repeated = {node for node in found if _signed(node.key) in low}
+    unjudged = repeated if len(repeated) == len(found) else set()
+    stays = unjudged or set(found) - repeated
+    around: set[Node] = set()
+    for node in stays:
+        while node.parent is not None and node.parent not in around:
+            around.add(node := node.parent)
 
-    def write(node: Node, path: str, judged: bool) -> None:
+    def entered(node: Node, judged: bool):
+        """What is left to write of a node: its items, whether they are judged, whether it is gone but for its landmarks, whether it is a block."""
         if node.never:
-            return
-        path = f"{path}>{node.style}"
+            return None
         judged = judged and node not in unjudged
-        gone = judged and low and node.parent is not None and _hash(path) in low
+        gone = judged and node.parent is not None and _signed(node.key) in low
         if gone and node not in around:
-            return
-        broken = node.tag in BLOCK
-        if broken:
+            return None
+        if node.tag in BLOCK:
             end_block()
-        for item in node.items:
-            if gone:
-                # Of a repeated branch only the landmarks that stay are left.
-                if isinstance(item, Node) and (item in stays or item in around):
-                    write(item, path, judged)
-            elif not isinstance(item, Node):
-                line.append(item)
-            elif item.tag == "br" or item.tag == "wbr":
-                line.append(" " if item.tag == "br" else "")
+        return iter(node.items), judged, gone, node.tag in BLOCK
+
+    def write(start: Node) -> None:
+        open_ = [first] if (first := entered(start, True)) else []
+        while open_:
+            items, judged, gone, block = open_[-1]
+            for item in items:
+                if not isinstance(item, Node):
+                    if not gone:
+                        line.append(item)
+                elif gone and item not in stays and item not in around:
+                    continue  # of a repeated branch only the landmarks that stay are left
+                elif item.tag in ("br", "wbr"):
+                    line.append(" " if item.tag == "br" else "")
+                elif inner := entered(item, judged):
+                    open_.append(inner)
+                    break
             else:
-                write(item, path, judged)
-        if broken:
-            end_block()
-
-    stays: set[Node] = set()
-    unjudged: set[Node] = set()
-    around: set[Node] = set()
+                open_.pop()
+                if block:
+                    end_block()
 
-    def run() -> None:
-        found: list[tuple[Node, str]] = []
-        landmark(root, "", found)
-        repeated = [node for node, path in found if low and _hash(f"{path}>{node.style}") in low]
-        if len(repeated) == len(found):
-            unjudged.update(repeated)
-        stays.update(unjudged or {node for node, _ in found}.difference(repeated))
-        for node in stays:
-            while node.parent is not None and node.parent not in around:
-                around.add(node := node.parent)
-        if found and only_landmarks:
-            for node, path in found:
-                write(node, path, True)
-                end_block()
-        else:
-            write(root, "", True)
+    for start in found if found and only_landmarks else [root]:
+        write(start)
         end_block()
-
-    _deep(run)
     return "\n".join(blocks)
 
 
@@ -296,14 +310,16 @@ def _features():
 
 
 def node_importance(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, presentation, content, importance) of the style tree's nodes with MIN_PAGES pages or more."""
+    """(host, path, pages, presentation, content, importance) of the style tree's nodes."""
     counted = pages.where("host <> '' AND html IS NOT NULL").select("host", "html").mapInArrow(_features(), "host string, kind long, path long, value long, n long")
     values = counted.groupBy("host", "path", "kind", "value").agg(F.sum("n").alias("n"))
     entropy = F.ln(F.sum("n").cast("double")) - F.sum(F.col("n") * F.ln(F.col("n").cast("double"))) / F.sum("n")
-    kinds = values.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), entropy.alias("entropy")).where(F.col("pages") >= MIN_PAGES)
-    scaled = kinds.withColumn("share", F.greatest(F.lit(0.0), F.col("entropy")) / F.ln(F.col("pages").cast("double")))
+    kinds = values.groupBy("host", "path", "kind").agg(F.sum("n").alias("pages"), entropy.alias("entropy"))
+    share = F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), F.col("entropy")) / F.ln(F.col("pages").cast("double"))).otherwise(0.0)
+    scaled = kinds.withColumn("share", share)
     both = scaled.groupBy("host", "path").agg(F.max("pages").alias("pages"), F.max(F.when(F.col("kind") == 0, F.col("share"))).alias("presentation"), F.max(F.when(F.col("kind") == 1, F.col("share"))).alias("content"))
-    return both.withColumn("importance", (1 - GAMMA) * F.col("presentation") + GAMMA * F.col("content"))
+    seen = (1 - GAMMA) * F.col("presentation") + GAMMA * F.col("content")
+    return both.withColumn("importance", (F.col("pages") * seen + F.lit(PRIOR)) / (F.col("pages") + F.lit(PRIOR)))
 
 
 def _extracted():
@@ -316,11 +332,17 @@ def _extracted():
 
 def extract(pages: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(page_id, url, text, n_chars) for every page."""
-    named = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host().alias("host"))
+    own = isolated(pages, page_id="page_id", url="url", html="html")
+    named = own.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host().alias("host"))
     low = written(node_importance(named).where(F.col("importance") < threshold).select("host", "path"), "low-importance")
-    by_host = low.groupBy("host").agg(F.collect_set("path").alias("low"))
+    by_host = low.groupBy("host").agg(F.collect_set("path").alias("low"))  # a host's different repeated nodes, however many its pages
     size = low.agg(F.sum(F.octet_length("host") + 16)).first()[0] or 0
-    joined = named.join(F.broadcast(by_host) if size <= LOW_BROADCAST else by_host, "host", "left")
+    if size <= LOW_BROADCAST:
+        joined = named.join(F.broadcast(by_host), "host", "left")
+    else:
+        # A host may have a third of all pages: each is met in SALTS parts.
+        salted = named.withColumn("salt", F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int"))
+        joined = salted.join(by_host.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))), ["host", "salt"], "left")
     return arrow_map(joined.select("page_id", "url", "html", "low"), _extracted, "page_id long, url string, text string, n_chars long")
 
 

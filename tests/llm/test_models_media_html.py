@@ -1,3 +1,4 @@
+import base64
 import hashlib
 import math
 import zlib
@@ -107,6 +108,26 @@ def test_gradients():
             assert abs(slope - gradient[at]) < 1e-5 + 1e-3 * abs(slope)
 
 
+def test_scores_equal_a_plain_forward_pass(spark):
+    """Window by window: each filter's largest value in a chunk, their maximum and mean over the chunks, two layers."""
+    r = np.random.default_rng(2)
+    net = byte_cnn.Network(*(p.astype(np.float64) for p in byte_cnn.Network.fresh(5).parameters()))
+    net.bias += r.normal(0, 0.3, net.bias.shape)
+    bodies = [bytes(r.integers(0, 256, n, dtype=np.uint8)) for n in (0, 1, 5, 6, 7, 253, 300, 1500)]
+    for body, score in zip(bodies, byte_cnn.scores(net, bodies), strict=True):
+        peaks, start = [], 0
+        while not peaks or start + byte_cnn.WIDTH - byte_cnn.STRIDE < len(body):
+            values = []
+            for at in range(start, start + byte_cnn.CHUNK - byte_cnn.WIDTH + 1, byte_cnn.STRIDE):
+                window = [body[k] if k < len(body) else byte_cnn.PAD for k in range(at, at + byte_cnn.WIDTH)]
+                values.append(np.concatenate([net.embed[k] for k in window]) @ net.filters)
+            peaks.append(np.maximum(np.max(values, axis=0) + net.bias, 0))
+            start += byte_cnn.STEP
+        x = np.concatenate([np.max(peaks, axis=0), np.mean(peaks, axis=0)])
+        z = np.tanh(x @ net.hidden + net.hidden_bias) @ net.out + net.out_bias[0]
+        assert abs(score - 1 / (1 + np.exp(-z))) < 1e-9
+
+
 def test_chunks_cover_every_window():
     for n in (0, 1, 5, 6, 255, 256, 257, 1000, 5000):
         chunks, counts = byte_cnn.chunks_of([bytes(i % 251 for i in range(n)), b"x"])
@@ -147,6 +168,11 @@ def test_webp_round_trip(size, case):
         assert (webp.decode(webp.encode(image)) == image).all()
 
 
+def test_a_stream_of_another_encoder():
+    """The lossless image of one transparent pixel by which browsers are tested for the format."""
+    assert webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")).tolist() == [[[0, 0, 0, 0]]]
+
+
 def test_broken_webp():
     data = webp.encode(np.arange(256, dtype=np.uint8).reshape(4, 16, 4))
     for bad in (b"", data[:20], data[:-8], b"JUNK" + data[4:], data[:20] + b"\x00" + data[21:]):
@@ -185,7 +211,52 @@ def test_markup_cases():
     assert text("<ul><li>a<li>b</ul><table><tr><td>c<td>d</table>tail &lt;i&gt; <di") == "a\nb\nc\nd\ntail <i>"
     assert text("plain words") == "plain words" and text("<p title='a>b'>x</p><!-- <p>no</p> --><p>y") == "x\ny"
     assert text("<main><div class='comments'>no</div><aside>no</aside>yes</main>") == "yes" and text("") == "" and text("<" * 50) is not None
-    assert text("<div>" * 3000 + "deep") == "deep"
+    assert text("<div>" * 3000 + "deep") == "deep" and text("<i>" * 100_000 + "x") == "x"
+    assert text("<article><p>first</p><p>second</p>" + "<div>" * 3000 + "deep") == "first\nsecond\ndeep"
+    for name in ("share-price", "login-flow", "foot-care", "search-and-rescue", "header-files"):
+        assert text(f"<main><div class='{name}'>kept</div></main>") == "kept", name
+    for name in ("share-buttons", "top-promo", "siteFooter", "related-posts", "ad", "x comments", "cookie-notice"):
+        assert text(f"<main><div class='{name}'>gone</div>kept</main>") == "kept", name
+
+
+def test_entropies_equal_their_definition(spark):
+    """Of a small site, by counting texts and children's styles of each path in plain Python."""
+    rows = [(i, f"http://h.example/{i}", f"<body><div class='m'>menu <b>{i % 2}</b></div><div><p>a</p>{'<p>b</p>' * (i % 3)}</div><p>text {i}</p></body>") for i in range(7)]
+    seen = defaultdict(lambda: (Counter(), Counter()))
+    for _, _, html in rows:
+        met = set()
+
+        def visit(node, path):
+            path += (node.style,)
+            words = []
+            for x in node.items:
+                words += visit(x, path) if isinstance(x, style_tree.Node) else x.split()
+            if words and node.parent is not None and node.tag in style_tree.BLOCK:
+                met.add((path, tuple(c.style for c in node.children), tuple(words)))  # noqa: B023
+            return words
+
+        visit(style_tree.parse(html), ())
+        for path, children, words in met:
+            seen[path][0][children] += 1
+            seen[path][1][words] += 1
+
+    def share(counts):
+        n = sum(counts.values())
+        return -sum(c / n * math.log(c / n) for c in counts.values()) / math.log(n) if n > 1 else 0.0
+
+    want = sorted((sum(t.values()), round(share(c), 9), round(share(t), 9)) for c, t in seen.values())
+    named = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("host", style_tree.host())
+    got = style_tree.node_importance(named).collect()
+    assert sorted((r.pages, round(r.presentation, 9), round(r.content, 9)) for r in got) == want
+    assert all(abs(r.importance - (r.pages * (0.1 * r.presentation + 0.9 * r.content) + style_tree.PRIOR) / (r.pages + style_tree.PRIOR)) < 1e-9 for r in got)
+
+
+def test_the_tree_changes_results(spark):
+    rows = [(i, f"http://s.example/{i}", f"<body><article><div class='box'>Written by our team</div><p>Body {i}</p></article></body>") for i in range(8)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    with_tree = {r.text for r in style_tree.extract(pages).collect()}
+    without = {r.text for r in style_tree.extract(pages, threshold=0.0).collect()}
+    assert with_tree == {f"Body {i}" for i in range(8)} and without == {f"Written by our team\nBody {i}" for i in range(8)}
 
 
 def test_repeated_branches_go_and_articles_stay(spark):
