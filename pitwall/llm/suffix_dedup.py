@@ -17,8 +17,8 @@ A fingerprint has 32 bits beside the bucket for the sample (a false tie only mak
 it has ``key_bytes`` (96 bits) beside the bucket: 48 of one polynomial, the others of a second with
 its own letters. No byte is compared; with a tenth of the positions as candidates, less than 1e-8 wrong ties are expected on 100 GB.
 
-Defined results: a null or empty text has no bytes; texts shorter than LENGTH lose nothing; matches
-never cross documents but may overlap inside one; an empty table gives an empty table; extra columns are ignored.
+Defined results: a null or empty text has no bytes; a row without a doc_id counts like any other; texts shorter than LENGTH lose nothing; matches
+never cross documents but may overlap inside one; an empty table gives an empty table; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,8 +30,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import BROADCAST_KEYS, arrow_map, checkpointed, utf8_parts, written
-from .minhash import mixed
+from .common import BROADCAST_KEYS, documents_of, utf8_parts, written
+from .words import LETTERS as _LETTERS
+from .words import Fingerprints, mixed
 
 LENGTH = 200
 PERIOD = 73
@@ -40,36 +41,15 @@ COVER = (0, 1, 3, 7, 15, 31, 36, 54, 63)
 SEGMENT_BYTES = 6 << 20
 BITS_BROADCAST = 64 << 20
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
-_LETTERS = mixed(np.arange(1, 257, dtype=_U) * _U(0xD1B54A32D192ED03))
 #: Of the second fingerprint.
 _LETTERS2 = mixed(np.arange(1, 257, dtype=_U) * _U(0xE7037ED1A0B428DB))
 KEY_BYTES = 12
+#: Buckets follow the input up to 2 ** BUCKET_BITS of 8 MB of text each, 8 TB; beyond, buckets grow.
+BUCKET_BITS = 20
 #: Bytes of the first fingerprint that say something beside the bucket.
 _FIRST_BYTES = 6
 
 
-class Fingerprints:
-    """Position-independent polynomial fingerprints of all windows of a width, by prefix sums modulo 2**64."""
-
-    def __init__(self):
-        self.powers = self.inverses = np.zeros(0, dtype=_U)
-
-    def of(self, body: np.ndarray, letters: np.ndarray = _LETTERS) -> Fingerprints:
-        n = len(body)
-        if len(self.powers) < n:
-            self.powers = np.cumprod(np.full(n, _BASE, dtype=_U))
-            self.inverses = np.cumprod(np.full(n, pow(_BASE, -1, 1 << 64), dtype=_U))
-        self.sums = np.zeros(n + 1, dtype=_U)
-        terms = letters[body]
-        terms *= self.powers[:n]
-        np.cumsum(terms, out=self.sums[1:])
-        return self
-
-    def at(self, positions: np.ndarray, width: int) -> np.ndarray:
-        return mixed((self.sums[positions + width] - self.sums[positions]) * self.inverses[positions] + _U(width))
-
-
 def _segments(most: int):
     def run(batches):
         ids, lengths, parts, size, made = [], [], [], 0, 0
@@ -115,7 +95,7 @@ class Segment:
 
     def _dealt(self, positions: np.ndarray, width: int):
         keys = self.prints.at(positions, width)
-        bucket = ((keys >> _U(48)) & _U(self.buckets - 1)).astype(np.int32)
+        bucket = (keys >> _U(65 - self.buckets.bit_length())).astype(np.int32)
         order = np.argsort(bucket, kind="stable")
         return positions[order], keys[order], bucket[order]
 
@@ -239,16 +219,18 @@ def _cut_out(buckets: int, length: int):
 
 def repeated_substrings(docs: DataFrame, length: int = LENGTH, key_bytes: int = KEY_BYTES) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256) for every document."""
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = documents_of(docs).withColumn("text", F.coalesce("text", F.lit("")))
     info = written(texts.select("doc_id", F.octet_length("text").cast("long").alias("n_bytes"), F.unhex(F.sha2(F.col("text"), 256)).alias("sha")), "texts")
-    groups = info.where(F.col("n_bytes") >= length).groupBy("sha").agg(F.min("doc_id").alias("stays"), F.count("*").alias("n")).where("n > 1")
-    copies = checkpointed(info.join(groups, "sha").select("doc_id", "n_bytes", "stays"))
+    able = info.where((F.col("n_bytes") >= length) & F.col("doc_id").isNotNull())
+    # Hashes of texts that occur twice; broadcast if they are few, so that no task gets all copies of one text.
+    groups = written(able.groupBy("sha").agg(F.min("doc_id").alias("stays"), F.count("*").alias("n")).where("n > 1"), "groups")
+    copies = written(able.join(F.broadcast(groups) if groups.count() <= BROADCAST_KEYS // 4 else groups, "sha").select("doc_id", "n_bytes", "stays"), "copies")
     absent = copies.where("doc_id <> stays").select("doc_id")
     absent = F.broadcast(absent) if copies.count() <= BROADCAST_KEYS else absent
     segments = written(texts.join(absent, "doc_id", "left_anti").mapInArrow(_segments(SEGMENT_BYTES), "segment long, doc_ids array<long>, lengths array<long>, body binary"), "segments", "zstd")
 
     size = info.agg(F.sum("n_bytes")).first()[0] or 0
-    buckets = 1 << min(16, max(5, int(np.ceil(np.log2(1 + size / (8 << 20))))))
+    buckets = 1 << min(BUCKET_BITS, max(5, int(np.ceil(np.log2(1 + size / (8 << 20))))))
     sent = "bucket int, segment long, packed binary"
     tied = "segment long, bucket int, bits binary"
     sample = segments.select("segment", "lengths", "body").mapInArrow(_sent(buckets, length, key_bytes, False), sent)
