@@ -2,7 +2,7 @@
 
 Each stage works on all that its predecessor kept; :func:`run` writes every stage's
 result as Parquet into the shared folder and reads it back for the next one, so that an executor lost
-late costs the work of one stage at most.
+late costs the work of one stage at most. A stage's table goes when the next one is written.
 """
 
 from __future__ import annotations
@@ -10,19 +10,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pitwall.llm import lines, minhash, mixing, packing, quality_rules
-from pitwall.llm.common import written
+from pitwall.llm.common import discard, written
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    return quality_rules.apply_rules(docs).where("kept").select(*docs.columns)
+    return quality_rules.keep_good(docs)
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One occurrence of each fuzzy line stays; documents of which nothing is left go."""
-    return lines.deduplicate_lines(docs).where("text RLIKE '[^\\\\x20\\\\x09-\\\\x0D]'").selectExpr(*[c if c != "n_chars" else "cast(length(text) as bigint) AS n_chars" for c in docs.columns])
+    return lines.deduplicate_lines(docs, length_column="n_chars", drop_emptied=True)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,12 +42,15 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES = [("quality rules", quality), ("line dedup", line_dedup), ("minhash near-dedup", near_dedup), ("mixing", mixture), ("packing", packed)]
 
-#: Packing and the fuzzy joins cannot be expressed in SQL; tests hold each stage against a brute-force version.
+#: Packing and the fuzzy joins cannot be expressed in SQL; tests/llm/test_pipeline.py holds every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS)
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet").select(*COLUMNS), None
     for name, stage in STAGES:
         docs = written(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        if before is not None:
+            discard(before)
+        before = docs
     return docs
