@@ -119,7 +119,7 @@ sums AS (
     {_spent("is_coasting")} AS coasting_time_s, {_spent("is_brake_throttle_overlap")} AS overlap_time_s, {_spent("is_front_lock_candidate")} AS front_lock_time_s,
     {_spent("is_rear_wheelspin_candidate")} AS rear_wheelspin_time_s, {_share("is_full_throttle")} AS full_throttle_pct, {_share("is_partial_throttle")} AS partial_throttle_pct,
     {_share("is_braking")} AS braking_pct, {_share("is_coasting")} AS coasting_pct, sum(abs(least(front_min, 0)) * dt_s) AS front_slip_integral,
-    sum(greatest(rear_max, 0) * dt_s) AS rear_slip_integral, sum(greatest(rear_max, 0) * rear_load * dt_s) AS rear_tire_stress_proxy
+    sum(greatest(rear_max, 0) * dt_s) AS rear_slip_integral, coalesce(sum(greatest(rear_max, 0) * rear_load * dt_s), 0) AS rear_tire_stress_proxy
   FROM d GROUP BY session_id, lap_id, lap_segment_index),
 neighbours AS (
   SELECT *, lead(source_lap_number) OVER w AS next_lap, lead(first_last) OVER w AS official, lag(source_lap_number) OVER w AS previous_lap,
