@@ -9,7 +9,7 @@ how far each marginal is from its target.
 Unless targets are given, a marginal's target shares are its token shares to the power TEMPER, which lifts
 rare sources, languages and topics, and the sample aims at SHARE of all tokens.
 
-Topics are clusters of vocabulary, learned from all documents: each word falls into one of 16 hashed terms, a document is the
+Topics are clusters of vocabulary, learned from all documents: each word falls into one of 16 hashed terms (by its first and last letters and its length), a document is the
 vector of its shares, and TOPICS centroids start from the term in which a document exceeds the corpus most and move
 REFINED times to the token-weighted mean of their documents. All sums are of integers, so any order of rows gives the same centroids.
 
@@ -45,13 +45,19 @@ def draw(doc_id: str = "doc_id") -> Column:
     return F.conv(F.substring(F.md5(F.coalesce(F.col(doc_id).cast("string"), F.lit(""))), 1, 8), 16, 10).cast("double") / F.lit(4294967296.0)
 
 
+def _term(word: Column) -> Column:
+    """One of TERMS from a word's first and last letters and its length, which both engines compute cheaply."""
+    number = F.lit(7) * F.ascii(word) + F.lit(3) * F.ascii(F.substring(word, -1, 1)) + F.length(word)
+    return F.substring(F.lit(TERMS), F.pmod(number, F.lit(len(TERMS))) + F.lit(1), F.lit(1))
+
+
 def counted(docs: DataFrame) -> DataFrame:
     """(doc_id, source, lang, n_tokens, terms): each document's words by hashed term; the only pass over the texts."""
     own = isolated(docs, doc_id="doc_id", text="text", source="source", lang="lang")
     words = F.filter(F.split(F.coalesce(F.col("text").cast("string"), F.lit("")), SPACE, -1), lambda w: w != "")
     named = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c)
     split = own.select("doc_id", named("source"), named("lang"), words.alias("words"))
-    hashed = split.select("doc_id", "source", "lang", F.size("words").cast("long").alias("n_tokens"), F.array_join(F.transform("words", lambda w: F.substring(F.md5(w.cast("binary")), 1, 1)), "").alias("h"))
+    hashed = split.select("doc_id", "source", "lang", F.size("words").cast("long").alias("n_tokens"), F.array_join(F.transform("words", _term), "").alias("h"))
     return hashed.select("doc_id", "source", "lang", "n_tokens", F.array(*[F.length("h") - F.length(F.replace("h", F.lit(t), F.lit(""))) for t in TERMS]).alias("terms"))
 
 
@@ -214,7 +220,7 @@ def oracle(rounds: int = ROUNDS, temper: float = TEMPER, share: float = SHARE) -
     sums = f"sum(n_tokens)::DOUBLE AS n, {', '.join(f'sum(t{i})::DOUBLE AS s{i}' for i in range(n))}"
     parts = [
         "WITH t AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') AS words, coalesce(source, '') AS source, coalesce(lang, '') AS lang FROM documents)",
-        "h AS (SELECT doc_id, source, lang, len(words)::BIGINT AS n_tokens, array_to_string([substr(md5(w), 1, 1) FOR w IN words], '') AS h FROM t)",
+        f"h AS (SELECT doc_id, source, lang, len(words)::BIGINT AS n_tokens, array_to_string([substr('{TERMS}', (7 * ascii(w) + 3 * ascii(right(w, 1)) + len(w)) % {n} + 1, 1) FOR w IN words], '') AS h FROM t)",
         f"f AS MATERIALIZED (SELECT doc_id, source, lang, n_tokens, {', '.join(f'len(h) - len(replace(h, {chr(39)}{c}{chr(39)}, {chr(39) * 2})) AS t{i}' for i, c in enumerate(TERMS))} FROM h)",
         f"whole AS (SELECT {sums} FROM f)",
         f"g0 AS (SELECT f.*, list_position([{', '.join(f'e{i}' for i in range(n))}], greatest({', '.join(f'e{i}' for i in range(n))})) - 1 AS top FROM (SELECT f.*, {', '.join(f'{share_of(i)} - s{i} / n AS e{i}' for i in range(n))} FROM f, whole WHERE n_tokens > 0) f)",
