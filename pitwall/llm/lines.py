@@ -18,20 +18,21 @@ empty table gives an empty table; doc_id is unique; other columns, whatever thei
 
 from __future__ import annotations
 
+from functools import partial
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from . import blobs
-from .common import BROADCAST_KEYS, arrow_map, discard, documents_of, isolated, restored, written
+from .common import BROADCAST_KEYS, WORD, arrow_map, discard, documents_of, isolated, position, restored, written
 from .linking import link
 from .words import borders, mixed, run_hashes
 
 BANDS, ROWS = 14, 4
-#: SimHash bits: 5,150 of 5,156 pairs at edit similarity 80% on sf0.1 lie within.
-DISTANCE = 24
+#: SimHash bits: of the pairs at edit similarity 80% in check tables 99.8% lie within.
+DISTANCE = 20
 LONG_WORD = 12
 PIECE = 6
 #: Line numbers by document are broadcast up to this measured size, else joined by a shuffle.
@@ -403,7 +404,7 @@ def _near(percent: int):
 def duplicate_lines(docs: DataFrame, percent: int = 80, min_chars: int = 0) -> DataFrame:
     """(doc_id, line): the line numbers to remove from each document, written; ``discard`` deletes it."""
     texts = documents_of(docs).where("doc_id IS NOT NULL")
-    seen = written(arrow_map(texts, _occurrences(min_chars), "doc_id long, line int, h1 long, h2 long, size int, sim long, keys binary, sketch binary"), "occurrences", "zstd")
+    seen = written(arrow_map(texts, _occurrences(min_chars), "doc_id long, line int, h1 long, h2 long, size int, sim long, keys binary, sketch binary"), "occurrences")
     buckets = max(32, (seen.count() * _PLACE.itemsize) // (12 << 20))
     lines = written(blobs.by_bucket(seen.select("h1", "h2", "doc_id", "line").mapInArrow(_places(buckets), blobs.SCHEMA), _PLACE, _firsts, "h1 long, h2 long, n long, doc_id long, line int"), "lines")
     buckets = max(32, lines.count() * BANDS * _NAMED.itemsize // (12 << 20))
@@ -415,16 +416,22 @@ def duplicate_lines(docs: DataFrame, percent: int = 80, min_chars: int = 0) -> D
     buckets = max(32, meeting * _LINE.itemsize // (12 << 20))
     packed = posted.mapInArrow(_posted(buckets), blobs.SCHEMA)
 
+    def bodies(wanted: DataFrame) -> DataFrame:
+        """(id, body) of lines, cut out of their first documents."""
+        named = wanted.select(F.col("id").alias("h1"))
+        at = written(lines.join(named, "h1", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line", F.col("h1").alias("id"))).alias("at")), "wanted")
+        found = written(arrow_map(texts.join(_small(at, F.size("at") * 12), "doc_id").select("text", F.col("at.line"), F.col("at.id")), _picked, "id long, body string"), "bodies", "zstd")
+        discard(at)
+        return found
+
     def verify(pairs: DataFrame) -> DataFrame:
-        wanted = pairs.select(F.explode(F.array("a", "b")).alias("h1")).distinct()
-        at = written(lines.join(wanted, "h1", "left_semi").groupBy("doc_id").agg(F.collect_list(F.struct("line", F.col("h1").alias("id"))).alias("at")), "wanted")
-        body = written(arrow_map(texts.join(_small(at, F.size("at") * 12), "doc_id").select("text", F.col("at.line"), F.col("at.id")), _picked, "id long, body string"), "bodies", "zstd")
+        body = bodies(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
         both = pairs.join(body.select(F.col("id").alias("a"), F.col("body").alias("x")), "a").join(body.select(F.col("id").alias("b"), F.col("body").alias("y")), "b")
         links = written(arrow_map(both.select("a", "b", "x", "y"), _verified(percent), "a long, b long"), "links")
-        discard(at, body)
+        discard(body)
         return links
 
-    grouped = link(packed, _LINE, _near(percent), verify, buckets)
+    grouped = link(packed, _LINE, _near(percent), verify, buckets, bodies=bodies, alike=partial(similar, percent=percent))
     few = grouped.count() <= BROADCAST_KEYS
     light = F.broadcast if few else lambda df: df
     own = lines.join(light(grouped.withColumnRenamed("id", "h1")), "h1", "left")
@@ -456,28 +463,39 @@ def _picked():
     return one
 
 
-def _remaining():
+def _masks():
+    """Line numbers as a mask over a document's lines."""
+
     def one(batch: pa.RecordBatch) -> pa.RecordBatch:
-        out = []
-        for text, gone in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-            if gone and text is not None:
-                gone = set(gone)
-                text = "\n".join(line for n, line in enumerate(text.split("\n")) if n not in gone)
-            out.append(text)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.string()), batch.column(3)], ["row", "text", "n_removed"])
+        masks = []
+        for numbers in batch.column(1):
+            numbers = numbers.values.to_numpy()
+            mask = np.zeros(int(numbers.max()) + 1, dtype=bool)
+            mask[numbers] = True
+            masks.append(mask)
+        ends = np.cumsum([0, *[len(m) for m in masks]])
+        flat = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(masks)))
+        return pa.RecordBatch.from_arrays([batch.column(0), flat, pa.array([int(m.sum()) for m in masks], pa.int64())], ["doc_id", "gone", "n_removed"])
 
     return one
 
 
-def deduplicate_lines(docs: DataFrame, percent: int = 80, min_chars: int = 0, removed_column: str | None = None) -> DataFrame:
-    """The documents, in their columns, without the removed lines. ``removed_column`` adds their number."""
+def deduplicate_lines(docs: DataFrame, percent: int = 80, min_chars: int = 0, removed_column: str | None = None, length_column: str | None = None, drop_emptied: bool = False) -> DataFrame:
+    """The documents, in their columns, without the removed lines.
+
+    ``removed_column`` adds their number, ``length_column`` names the column of the text's code points, to be counted
+    again; with ``drop_emptied`` documents that lost lines and have no word left go.
+    """
     found = duplicate_lines(docs, percent, min_chars)
-    gone = written(found.groupBy("doc_id").agg(F.collect_set("line").alias("gone")), "removed")
+    gone = written(arrow_map(found.groupBy("doc_id").agg(F.collect_set("line").alias("line")), _masks, "doc_id long, gone array<boolean>, n_removed long"), "removed")
     discard(found)
     own = isolated(docs, doc_id="doc_id", text="text").select("row", F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    joined = own.join(_small(gone, F.size("gone") * 4), "doc_id", "left").select("row", "text", "gone", F.coalesce(F.when(F.col("gone").isNotNull(), F.size("gone")), F.lit(0)).cast("long").alias("n_removed"))
-    cleaned = arrow_map(joined, _remaining, StructType([joined.schema["row"], StructField("text", StringType()), StructField("n_removed", LongType())]))
-    return restored(cleaned, docs, {"text": F.col("text")}, {removed_column: F.col("n_removed")} if removed_column else None)
+    joined = own.join(_small(gone, F.size("gone")), "doc_id", "left")
+    left = F.array_join(F.filter(F.split("text", "\n", -1), lambda x, i: ~F.coalesce(F.get(F.col("gone"), i), F.lit(False))), "\n")
+    cleaned = joined.select("row", F.when(F.col("gone").isNotNull(), left).otherwise(F.col("text")).alias("text"), F.coalesce("n_removed", F.lit(0).cast("long")).alias("n_removed"))
+    cleaned = cleaned.where((F.col("n_removed") == 0) | F.col("text").rlike(WORD)) if drop_emptied else cleaned
+    length = {length_column: F.when(F.col("n_removed") > 0, F.length("text")).otherwise(F.col("row")[f"c{position(docs, length_column)}"]).cast(docs.schema[position(docs, length_column)].dataType)} if length_column else {}
+    return restored(cleaned, docs, {"text": F.col("text"), **length}, {removed_column: F.col("n_removed")} if removed_column else None)
 
 
 def op10(spark, sf_dir: str) -> DataFrame:

@@ -8,8 +8,8 @@ large group of near copies has very many nodes, so :func:`link` does not pair th
    that fail get the next leader, and so on, so that a group yields at most one pair a node.
 2. Distinct pairs are verified; links give components.
 3. What can still be missing are links between different components under one key of a large group. Such groups come back
-   with the components of their nodes, pairs across that pass the test are verified (first one pair for each two
-   components, as one success joins them; then what is left). Inside a component no pair needs a look.
+   with the components of their nodes. Pairs across that pass the test are verified in the task that holds the group, which skips what is
+   joined already and gives out links only (or, with ``residual``, by an exact join of the few nodes concerned).
 
 The components are exact for the given keys and test.
 """
@@ -25,11 +25,14 @@ from pyspark.sql import functions as F
 
 from . import blobs
 from .common import BROADCAST_KEYS, discard, written
+from .words import mixed
 
 #: Groups up to this size are paired whole.
 SMALL = 8
 #: Edges that one task joins at most (32 MB); more are joined in rounds of all tasks.
 EDGES_IN_TASK = 2_000_000
+#: Measured bytes of bodies that are broadcast at most; more are joined by a shuffle.
+BODIES_BROADCAST = 16 << 20
 #: Nodes of a group compared with as many others at once.
 BLOCK = 512
 
@@ -187,10 +190,14 @@ def _unpacked_rows(dtype: np.dtype, buckets: int):
         for batch in batches:
             for raw in batch.column(0):
                 records = np.frombuffer(raw.as_buffer(), dtype=dtype)
+                # Groups with the same first node, mostly of the same nodes under other keys, meet in one task, which compares a pair once.
+                starts = np.flatnonzero(np.concatenate([[True], records["key"][1:] != records["key"][:-1]]))
+                leads = np.repeat(records["id"][starts], np.diff(np.append(starts, len(records))))
+                dealt = (mixed(np.ascontiguousarray(leads).view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
                 for lo in range(0, len(records), 1 << 16):
                     part = records[lo : lo + (1 << 16)]
                     bodies = pa.Array.from_buffers(pa.binary(), len(part), [None, pa.py_buffer(np.arange(0, width * (len(part) + 1), width, dtype=np.int32)), pa.py_buffer(part.tobytes())])
-                    yield pa.RecordBatch.from_arrays([pa.array((part["key"].astype(np.uint64) % np.uint64(buckets)).astype(np.int32)), pa.array(part["id"]), bodies], ["bucket", "id", "record"])
+                    yield pa.RecordBatch.from_arrays([pa.array(dealt[lo : lo + (1 << 16)]), pa.array(part["id"]), bodies], ["bucket", "id", "record"])
 
     return run
 
@@ -215,15 +222,31 @@ def _crossings(rows: pa.Table, dtype: np.dtype, near) -> Iterator[np.ndarray]:
                     yield np.stack([x["id"][p], y["id"][q], cx[p], cy[q]])
 
 
-def _across(dtype: np.dtype, near, once: bool):
-    """Pairs across components; ``once``: one for each two components of a block."""
+def _linked_across(dtype: np.dtype, near, alike: Callable[[str, str], bool]):
+    """Links (a, b) between components, found by comparing bodies here: what is joined already needs no further look, and no pair leaves the task but a link."""
 
     def reduce(rows: pa.Table) -> pa.Table:
-        out = [np.zeros((4, 0), np.int64)]
+        bodies = dict(zip(rows.column("id").to_pylist(), rows.column("body").to_pylist(), strict=True))
+        parent: dict[int, int] = {}
+        tried: set[tuple[int, int]] = set()
+
+        def find(x: int) -> int:
+            while (up := parent.setdefault(x, x)) != x:
+                parent[x] = x = parent.setdefault(up, up)
+            return x
+
+        links: list[tuple[int, int]] = []
         for found in _crossings(rows, dtype, near):
-            out.append(found[:, np.unique(found[2:], axis=1, return_index=True)[1]] if once and found.shape[1] else found)
-        found = np.concatenate(out, axis=1)
-        return pa.table({"a": np.minimum(found[0], found[1]), "b": np.maximum(found[0], found[1]), "ca": found[2], "cb": found[3]})
+            for a, b, ca, cb in found.T.tolist():
+                x, y = find(ca), find(cb)
+                if x == y or (a, b) in tried:
+                    continue
+                if alike(bodies[a], bodies[b]):
+                    links.append((a, b))
+                    parent[max(x, y)] = min(x, y)
+                elif len(tried) < 1_000_000:  # beyond, a pair is only compared again
+                    tried.add((a, b))
+        return pa.table({"a": pa.array([x[0] for x in links], pa.int64()), "b": pa.array([x[1] for x in links], pa.int64())})
 
     return reduce
 
@@ -241,13 +264,17 @@ def _meeting(dtype: np.dtype, near):
     return reduce
 
 
-def link(packed: DataFrame, dtype: np.dtype, near: Callable[[np.ndarray, np.ndarray], np.ndarray], verify: Callable[[DataFrame], DataFrame], buckets: int, residual: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def link(
+    packed: DataFrame, dtype: np.dtype, near: Callable[[np.ndarray, np.ndarray], np.ndarray], verify: Callable[[DataFrame], DataFrame], buckets: int, *,
+    residual: Callable[[DataFrame], DataFrame] | None = None, bodies: Callable[[DataFrame], DataFrame] | None = None, alike: Callable[[str, str], bool] | None = None,
+) -> DataFrame:
     """(id, component) for the nodes that have a link.
 
     ``packed`` has records of ``dtype`` (key, id and what ``near`` needs) by bucket of the key, see :mod:`blobs`. ``near`` is
     the cheap test on arrays of records, symmetric. ``verify`` gets distinct pairs (a < b) and returns those that are links, written.
-    ``residual`` may replace the last step: it gets (id, component) of the nodes that pass the test with
-    one of another component under a key, and returns pairs (a, b) that contain every link between these components.
+    For the links that are left between components either ``residual`` gets (id, component) of the nodes that pass the test with
+    one of another component under a key, and returns pairs (a, b) that contain every link between these components; or
+    ``bodies`` returns (id, body) for such nodes and ``alike`` decides on two bodies, in the task that has the key's nodes.
     """
     dtype = np.dtype(dtype)
     first = written(blobs.by_bucket(packed, dtype, _first_pairs(near), "a long, b long, packed binary"), "matches")
@@ -256,43 +283,28 @@ def link(packed: DataFrame, dtype: np.dtype, near: Callable[[np.ndarray, np.ndar
     grouped = components(links)
     discard(links)
 
-    def large() -> DataFrame:
-        """The nodes of large groups with their components."""
-        rows = first.where("packed IS NOT NULL").select("packed").mapInArrow(_unpacked_rows(dtype, buckets), "bucket int, id long, record binary")
-        few = F.broadcast(grouped) if grouped.count() <= BROADCAST_KEYS else grouped
-        return rows.join(few, "id", "left").select("bucket", "record", F.coalesce("component", "id").alias("component"))
-
-    def across(once: bool) -> DataFrame:
-        return large().groupBy("bucket").applyInArrow(_across(dtype, near, once), "a long, b long, ca long, cb long")
-
-    def joined(more: DataFrame) -> DataFrame:
-        """Components after more links: a component's members point to its smallest id."""
-        after = components(more.select("a", "b").unionAll(grouped.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))))
-        discard(grouped, more)
-        return after
-
+    few = F.broadcast(grouped) if grouped.count() <= BROADCAST_KEYS else grouped
+    rows = first.where("packed IS NOT NULL").select("packed").mapInArrow(_unpacked_rows(dtype, buckets), "bucket int, id long, record binary")
+    large = rows.join(few, "id", "left").select("bucket", "id", "record", F.coalesce("component", "id").alias("component"))
+    members = written(large.groupBy("bucket").applyInArrow(_meeting(dtype, near), "id long, component long").distinct(), "members")
+    if members.isEmpty():
+        discard(first, tried, members)
+        return grouped
     if residual is not None:
-        members = large().groupBy("bucket").applyInArrow(_meeting(dtype, near), "id long, component long").distinct()
         todo = written(residual(members).distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-        if not todo.isEmpty():
-            grouped = joined(verify(todo))
+        more = verify(todo)
         discard(todo)
     else:
-        for once in (True, False):
-            met = across(once)
-            if once:
-                met = met.groupBy("ca", "cb").agg(F.min(F.struct("a", "b")).alias("p")).select("p.a", "p.b")
-            todo = written(met.select("a", "b").distinct().join(tried, ["a", "b"], "left_anti"), "pairs")
-            if todo.isEmpty():
-                discard(todo)
-                if once:
-                    continue
-                break
-            more = verify(todo)
-            if once:
-                tried = tried.unionAll(todo)
-            if not more.isEmpty():
-                grouped = joined(more)
-            if not once:
-                discard(todo)
+        named = bodies(members.select("id"))
+        size = named.agg(F.sum(F.octet_length("body") + 32)).first()[0] or 0
+        texts = F.broadcast(named) if size <= BODIES_BROADCAST else named
+        more = written(large.join(texts, "id").select("bucket", "id", "record", "component", "body").groupBy("bucket").applyInArrow(_linked_across(dtype, near, alike), "a long, b long"), "links")
+        discard(named)
+    discard(first, tried, members)
+    if not more.isEmpty():
+        # A component's members point to its smallest id, so links between components complete the old stars.
+        after = components(more.unionAll(grouped.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))))
+        discard(grouped)
+        grouped = after
+    discard(more)
     return grouped

@@ -349,7 +349,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, k: int =
     def residual(members: DataFrame) -> DataFrame:
         return across(texts, members, size, percent)
 
-    linked = link(nodes.mapInArrow(_posted(k, width), blobs.SCHEMA), dtype, _collide(percent, match), verify, width, residual)
+    linked = link(nodes.mapInArrow(_posted(k, width), blobs.SCHEMA), dtype, _collide(percent, match), verify, width, residual=residual)
     light = F.broadcast if linked.count() <= BROADCAST_KEYS else lambda df: df
     own = sets.join(light(linked), "id", "left")
     # Copies of a text and members of a component take its smallest id; all others keep their own.
