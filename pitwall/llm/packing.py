@@ -31,7 +31,7 @@ from .words import mixed
 
 WINDOW = 2048
 END = 1
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 3_000_000
 K1, B = 1.2, 0.75
 _TOKEN = np.dtype("<u4")
 
@@ -88,7 +88,7 @@ class Index:
         self.row = np.full(len(self.df), -1)
         self.row[frequent] = np.arange(len(frequent))
         held = np.flatnonzero(self.row[at[order]] >= 0)
-        self.full = np.zeros((len(frequent), n))
+        self.full = np.zeros((len(frequent), n), dtype=np.float32)
         self.full[self.row[at[order][held]], self.owner[held]] = self.weight[held]
 
     def scores(self, doc: int) -> np.ndarray:
@@ -98,7 +98,7 @@ class Index:
         own = own[(self.df[own] > 1) & (rows < 0)]
         size = self.df[own]
         at = np.repeat(self.first[own] - np.cumsum(size) + size, size) + np.arange(size.sum())
-        return np.bincount(self.owner[at], self.weight[at], minlength=len(self.starts) - 1) + self.full[rows[rows >= 0]].sum(axis=0)
+        return np.bincount(self.owner[at], self.weight[at], minlength=len(self.starts) - 1) + self.full[rows[rows >= 0]].sum(axis=0, dtype=np.float32)
 
     def neighbours(self, doc: int, used: np.ndarray) -> np.ndarray:
         """Unused documents that share a term with ``doc``, best first, ties by position."""

@@ -144,7 +144,7 @@ def test_scores_equal_bm25_by_definition():
                     idf = math.log(1 + (len(docs) - df[t] + 0.5) / (df[t] + 0.5))
                     want += idf * counts[t] * (packing.K1 + 1) / (counts[t] + packing.K1 * (1 - packing.B + packing.B * len(d) / mean))
             lone = [t for t in set(docs[q].tolist()) if df[t] == 1 and len(docs) >= 4]  # a term of no other document adds to the query's own score only
-            assert abs(got[k] - want) < 1e-9 or k == q and lone
+            assert abs(got[k] - want) < 1e-5 * max(1, want) or k == q and lone  # frequent terms add up in single precision
         used = r.random(len(docs)) < 0.3
         best = index.neighbours(q, used)
         assert not used[best].any() and all(got[a] > got[b] or got[a] == got[b] and a < b for a, b in zip(best, best[1:]))
