@@ -77,7 +77,7 @@ def recording_source(spark, sf_dir):
     """The named data source with filters that it takes itself."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(recording.RecordingSource)
-    df = spark.read.format("recording").option("paths", "\n".join(_paths(spark, sf_dir))).load()
+    df = spark.read.format("recording").option("push_filters", "true").option("paths", "\n".join(_paths(spark, sf_dir))).load()
     return df.where("driver_name = 'driver 3' AND car_index = 1").select("source_name", "car_index", "driver_name", "sample_index", "rpm")
 
 

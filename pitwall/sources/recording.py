@@ -319,14 +319,6 @@ class _Reader(DataSourceReader):
         self.range = int(options.get("frames_per_partition", RANGE))
         self.equal: dict[str, set] = {}
 
-    def pushFilters(self, filters):
-        """Equality on a column of the car block selects cars before any frame is read; other filters stay with Spark."""
-        for f in filters:
-            if isinstance(f, EqualTo) and len(f.attribute) == 1 and f.attribute[0] in PUSHED:
-                self.equal.setdefault(f.attribute[0], set()).add(f.value)
-            else:
-                yield f
-
     def _selected(self, layout: Layout, index: int) -> bool:
         own = {"car_index": index, **{k: getattr(layout.cars[index], k) for k in PUSHED if k != "car_index"}}
         return all({own[k]} == values for k, values in self.equal.items())
@@ -363,8 +355,20 @@ class _Reader(DataSourceReader):
             yield table(meta, frames(file, part.layout.cars[part.car], part.lo, part.hi), part.lo, clutch)
 
 
+class _PushingReader(_Reader):
+    """Spark takes a reader with pushFilters only where spark.sql.python.filterPushdown.enabled is set."""
+
+    def pushFilters(self, filters):
+        """Equality on a column of the car block selects cars before any frame is read; other filters stay with Spark."""
+        for f in filters:
+            if isinstance(f, EqualTo) and len(f.attribute) == 1 and f.attribute[0] in PUSHED:
+                self.equal.setdefault(f.attribute[0], set()).add(f.value)
+            else:
+                yield f
+
+
 class RecordingSource(DataSource):
-    """Options: path or paths (one a line), driver_name, mode (frames or header), frames_per_partition."""
+    """Options: path or paths (one a line), driver_name, mode (frames or header), frames_per_partition, push_filters."""
 
     @classmethod
     def name(cls) -> str:
@@ -374,7 +378,7 @@ class RecordingSource(DataSource):
         return HEADER_SCHEMA if self.options.get("mode", "frames") == "header" else SCHEMA
 
     def reader(self, schema):
-        return _Reader(self.options)
+        return (_PushingReader if self.options.get("push_filters") == "true" else _Reader)(self.options)
 
 
 def from_json(text: str) -> Layout:
