@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -59,11 +60,11 @@ def _remove_quietly(spark: SparkSession, path: str) -> None:
         shutil.rmtree(path.removeprefix("file://"), ignore_errors=True)
 
 
-def written(df: DataFrame, name: str, compression: str = "snappy") -> DataFrame:
+def written(df: DataFrame, name: str, compression: str = "snappy", **options: int) -> DataFrame:
     """Cut the lineage: write to the shared folder and read the table back; :func:`discard` deletes it."""
     spark = df.sparkSession
     path = scratch_path(spark, name)
-    df.write.option("compression", compression).parquet(path)
+    df.write.options(compression=compression, **options).parquet(path)
     back = spark.read.schema(df.schema).parquet(path)
     back._scratch = path
     return back
@@ -134,6 +135,18 @@ def arrow_map(df: DataFrame, make: Callable[[], Callable[[pa.RecordBatch], pa.Re
     return df.mapInArrow(run, schema)
 
 
+@contextmanager
+def arrow_batches(spark: SparkSession, most: int) -> Iterator[None]:
+    """Bound the bytes of the Arrow batches sent to Python by what runs inside, for tables with rows of megabytes."""
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(key, None)
+    spark.conf.set(key, str(most))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before) if before is not None else spark.conf.unset(key)
+
+
 def utf8_parts(column: pa.Array) -> tuple[memoryview, list[int]]:
     """The bytes of a string column without a copy for each row, and its n + 1 offsets (nulls: empty)."""
     import numpy as np

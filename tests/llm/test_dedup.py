@@ -99,6 +99,44 @@ def test_cover_meets_every_pair_and_empty(spark):
     assert suffix_dedup.repeated_substrings(nothing(spark)).count() == 0
 
 
+def test_memory_of_a_task_follows_neither_its_partition_nor_the_candidates(spark, monkeypatch):
+    """A worker reads segments of which every suffix is a candidate, many in one batch; a bucket holds only suffixes that tie."""
+    import tracemalloc
+
+    import pyarrow as pa
+
+    r = np.random.default_rng(3)
+    size, buckets = suffix_dedup.SEGMENT_BYTES, 16
+    bodies = [r.integers(0, 256, size, dtype=np.uint8).tobytes() for _ in range(2)] * 4
+    n = 1 + size // suffix_dedup.PERIOD * len(suffix_dedup.COVER)
+    bits = [[{"bucket": b, "bits": b"\xff" * n} for b in range(buckets)]] * len(bodies)
+    batch = pa.RecordBatch.from_pydict({"segment": [*range(len(bodies))], "lengths": [[size]] * len(bodies), "body": pa.array(bodies, pa.binary()), "sample_bits": bits})
+    tracemalloc.start()
+    try:
+        sent = sum(len(p) for out in suffix_dedup._sent(buckets, 200, 12, True)(iter([batch])) for p in out.column("packed").to_pylist())
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert sent == len(bodies) * 12 * (size - 199)
+    assert peak < 300 << 20
+    # Spark's own batches are bounded, too, while the operator runs, and as before afterwards.
+    seen, key, returned = [], "spark.sql.execution.arrow.maxBytesPerBatch", suffix_dedup._returned
+    before = spark.conf.get(key)
+    monkeypatch.setattr(suffix_dedup, "_returned", lambda *a: (seen.append(spark.conf.get(key)), returned(*a))[1])
+    suffix_dedup.repeated_substrings(documents(spark).limit(20)).count()
+    assert seen == [str(suffix_dedup.BATCH_BYTES)] * 2 and spark.conf.get(key) == before
+
+
+def test_large_buckets_and_bits_that_are_not_broadcast(spark, monkeypatch):
+    docs = documents(spark)
+    expected = sorted(suffix_dedup.repeated_substrings(docs).collect())
+    monkeypatch.setattr(suffix_dedup, "BITS_BROADCAST", -1)
+    monkeypatch.setattr(suffix_dedup, "SORTED", 10)
+    monkeypatch.setattr(suffix_dedup, "BLOCK", 1000)
+    monkeypatch.setattr(suffix_dedup, "SEGMENT_BYTES", 20_000)
+    assert sorted(suffix_dedup.repeated_substrings(docs).collect()) == expected
+
+
 def edits(a, b):
     row = list(range(len(b) + 1))
     for i, x in enumerate(a, 1):
