@@ -168,6 +168,42 @@ def test_webp_round_trip(size, case):
         assert (webp.decode(webp.encode(image)) == image).all()
 
 
+def test_media_are_written_by_the_method(monkeypatch):
+    """Codes of mixed length, references, cache and each transform where it helps, read by the general decoder, alone and side by side."""
+    r = np.random.default_rng(8)
+    noise = lambda *shape: r.integers(0, 256, shape).astype(np.uint8)
+    text = " ".join(f"word{int(x)}" for x in r.zipf(1.5, 4000) % 900).encode()
+    grey = np.repeat(noise(40, 16, 1), 4, axis=2)
+    slanted = noise(60, 32, 4)
+    slanted[..., 0] += (slanted[..., 1].view(np.int8).astype(int) * 20 >> 5).astype(np.uint8) - slanted[..., 0] + slanted[..., 0] % 4
+    repeated = np.concatenate([noise(30, 16, 4)] * 3)
+    images = {
+        "text": webp.image_of(webp.payload_of(text)), "grey": grey, "steps": np.cumsum(r.integers(0, 3, (40, 64, 4)), axis=1).astype(np.uint8), "columns": np.cumsum(r.integers(0, 3, (64, 32, 4)), axis=0).astype(np.uint8),
+        "slanted": slanted, "few": noise(7, 4)[r.integers(0, 7, (50, 33))], "repeated": repeated, "blank": np.zeros((1, 16, 4), np.uint8), "lone": noise(1, 1, 4), "wide": noise(2, 300, 4),
+    }
+    streams = {k: webp.Stream(webp.encode(v)) for k, v in images.items()}
+    kinds = {k: [t[0] for t in s.transforms] for k, s in streams.items()}
+    assert kinds["few"] == [webp.PALETTE] and webp.SUBTRACT_GREEN in kinds["grey"] and webp.CROSS_COLOUR in kinds["slanted"]
+    assert kinds["steps"][0] == kinds["columns"][0] == webp.PREDICTOR
+    assert streams["text"].head.cache_bits and all(len(set(c.sizes.tolist())) > 2 for c in streams["text"].head.groups[0][:4])
+    assert (streams["repeated"].head.groups[0][0].symbols >= 256).any() and len(webp.encode(repeated)) < len(webp.encode(repeated[:30])) + 100
+    assert len(webp.encode(images["text"])) < 0.62 * len(text)
+    # Also streams by the other encoder, with code groups, which are read one by one.
+    data = [webp.encode(v) for v in images.values()] + [webp.encode_with(v, (2, 0), 4, True, bits) for v in images.values() for bits in (0, 2)]
+    expected = [*images.values(), *[v for v in images.values() for _ in (0, 2)]]
+    for few in (1, 5, 1000):
+        monkeypatch.setattr(webp, "FEW", few)
+        got = dict(webp.decode_many(data))
+        assert len(got) == len(data) and all((got[i] == v).all() and (webp.decode(data[i]) == v).all() for i, v in enumerate(expected))
+    monkeypatch.setattr(webp, "BLOCK", 64)
+    for v in images.values():
+        assert (webp.decode(webp.encode(v)) == v).all()
+    # Code lengths are bounded whatever the counts, and complete.
+    for most, counts in ((7, 2 ** np.arange(19)), (12, np.append(np.ones(700, int), 10**9)), (12, np.cumsum(np.arange(1, 300)) ** 3)):
+        lengths = webp._limited(counts, most)
+        assert lengths.max() <= most and (2.0**-lengths).sum() == 1
+
+
 def test_a_stream_of_another_encoder():
     """The lossless image of one transparent pixel by which browsers are tested for the format."""
     assert webp.decode(base64.b64decode("UklGRhoAAABXRUJQVlA4TA0AAAAvAAAAEAcQERGIiP4HAA==")).tolist() == [[[0, 0, 0, 0]]]
