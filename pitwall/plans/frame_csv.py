@@ -61,7 +61,7 @@ def lines(rows: np.ndarray, extra: tuple[int, np.ndarray] | None, lo: int = 0):
 
 
 def preamble(layout: recording.Layout, index: int, extra: bool) -> str:
-    car = layout.cars[index]
+    car = layout.car(index)
     keys = (
         ("formatVersion", FORMAT_VERSION), ("numFrames", car.frames), ("carNumFrames", car.frames), ("recordingInterval", format(layout.interval_ms, ".6g")), ("replayVersion", layout.version),
         ("weather", layout.weather), ("track", layout.track), ("trackConfig", layout.track_config), ("numCars", layout.num_cars), ("currentRecordingIndex", layout.current_recording_index),
@@ -81,8 +81,24 @@ def _formatted(batches):
                 for lo in range(row["lo"], row["hi"], CHUNK):
                     hi = min(row["hi"], lo + CHUNK)
                     part = (extra[0], extra[1][lo:hi]) if extra else None
-                    body = "".join(x + "\n" for x in lines(recording.frames(file, layout.cars[car], lo, hi), part, lo))
-                    yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([car], pa.int32()), pa.array([lo], pa.int64()), pa.array([preamble(layout, car, bool(extra)) if lo == 0 else None], pa.string()), pa.array([layout.driver_names[car]]), pa.array([len(layout.cars)], pa.int32()), pa.array([body])], ["path", "car", "lo", "preamble", "driver", "cars", "body"])
+                    body = "".join(x + "\n" for x in lines(recording.frames(file, layout.car(car), lo, hi), part, lo))
+                    yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([car], pa.int32()), pa.array([lo], pa.int64()), pa.array([preamble(layout, car, bool(extra)) if lo == 0 else None], pa.string()), pa.array([layout.name(car)]), pa.array([layout.num_cars], pa.int32()), pa.array([body])], ["path", "car", "lo", "preamble", "driver", "cars", "body"])
+
+
+def _heads(batches):
+    for batch in batches:
+        for row in batch.to_pylist():
+            layout, car = recording.from_json(row["layout"]), row["car"]
+            file, size = recording.open_file(row["path"])
+            with file:
+                extra = recording.extra_frames(file, size, layout, car)
+            yield pa.RecordBatch.from_arrays([pa.array([row["path"]]), pa.array([car], pa.int32()), pa.array([preamble(layout, car, bool(extra))])], ["path", "car", "preamble"])
+
+
+def preambles(spark: SparkSession, paths: list[str] | str):
+    """(path, car, preamble) of each car: it stands in the headers, no frame is formatted for it."""
+    cars = recording.layouts(spark, [paths] if isinstance(paths, str) else paths)
+    return cars.repartition("path", "car").mapInArrow(_heads, "path string, car int, preamble string")
 
 
 def texts(spark: SparkSession, paths: list[str] | str):
@@ -91,20 +107,25 @@ def texts(spark: SparkSession, paths: list[str] | str):
     return recording.ranges(cars, recording.RANGE // 10).repartition("path", "car", "lo").mapInArrow(_formatted, "path string, car int, lo long, preamble string, driver string, cars int, body string")
 
 
-def free_path(path: Path) -> Path:
-    """The path, or with the first free number behind its stem."""
-    found, n = path, 1
-    while found.exists():
-        n += 1
+def free_path(path: Path, taken: dict[Path, int] | None = None) -> Path:
+    """The path, or with the first free number behind its stem; ``taken`` keeps the last number of each path, so that many cars of a name don't try all numbers again."""
+    n = (taken or {}).get(path, 0)
+    found = path
+    while n or found.exists():
+        n = max(n, 1) + 1
         found = path.with_name(f"{path.stem} ({n}){path.suffix}")
+        if not found.exists():
+            break
+    if taken is not None:
+        taken[path] = max(n, 1)
     return found
 
 
-def output_path(source: Path, wanted: str | None, driver: str, cars: int, chosen: str | None) -> Path:
+def output_path(source: Path, wanted: str | None, driver: str, cars: int, chosen: str | None, taken: dict[Path, int] | None = None) -> Path:
     """Where a car's text goes: in a folder under the recording's name, or the file that is wanted; several cars add the driver."""
     suffix = f"_{driver}" if chosen is None and cars > 1 else ""
     if wanted is None or wanted.endswith(("/", "\\")):
-        return free_path((Path(wanted) if wanted else Path.cwd()) / f"{source.stem}{suffix}.csv")
+        return free_path((Path(wanted) if wanted else Path.cwd()) / f"{source.stem}{suffix}.csv", taken)
     path = Path(wanted)
     path = path.with_name(f"{path.stem}{suffix}{path.suffix}")
     return path if path.suffix else path.with_suffix(".csv")
@@ -114,10 +135,10 @@ def convert(spark: SparkSession, source: str, wanted: str | None = None, driver:
     """Write the text of each chosen car; ranges come to the driver one after the other."""
     chosen = texts(spark, source)
     chosen = chosen.where(F.col("driver") == driver) if driver is not None else chosen
-    out = []
+    out, taken = [], {}
     for _, parts in itertools.groupby(chosen.sort("car", "lo").toLocalIterator(), key=lambda x: x.car):
         first = next(parts)
-        path = output_path(Path(name_of(source)), wanted, first.driver, first.cars, driver)
+        path = output_path(Path(name_of(source)), wanted, first.driver, first.cars, driver, taken)
         path.parent.mkdir(parents=True, exist_ok=True)
         with path.open("w", encoding="utf-8") as target:
             target.write(first.preamble + first.body)

@@ -1,10 +1,13 @@
 import io
+import struct
+from pathlib import Path
 
 import numpy as np
 import pytest
 
 from pitwall.plans import frame_csv
 from pitwall.sources import recording as r
+from pitwall.sources import recording_writer
 from tests.recordings import build
 
 
@@ -71,3 +74,57 @@ def test_text_export(spark, tmp_path):
     assert frame_csv.convert(spark, str(source), f"{tmp_path}/out/", "Ann")[0].name == "race (2).csv"
     with pytest.raises(r.RecordingError):
         r.scan(io.BytesIO(b"\x10\x00"), 2)
+
+
+def many_cars(n, frames=2):
+    metas = [{"car_id": f"car {k}", "driver_name": f"driver {k % 2}", "nation_code": "TST", "driver_team": "t", "car_skin_id": "s", "wings": k % 3, "extra_version": (6, 7, 0)[k % 3]} for k in range(n)]
+    rows = {"source_lap_number": np.zeros(frames), "clutch": np.arange(frames)}
+    return recording_writer.build({"interval_ms": 60.0, "weather": "clear", "track_id": "ring", "track_config": ""}, [(m, rows, frames) for m in metas])
+
+
+def test_a_row_for_a_car_does_not_carry_all_cars(spark, tmp_path):
+    for n in (1, 90):
+        (tmp_path / f"{n}.rec").write_bytes(many_cars(n))
+    longest = {row.path: row.n for row in r.layouts(spark, [str(tmp_path / f"{n}.rec") for n in (1, 90)]).selectExpr("path", "length(layout) AS n").groupBy("path").agg({"n": "max"}).toDF("path", "n").collect()}
+    assert longest[str(tmp_path / "90.rec")] < longest[str(tmp_path / "1.rec")] + 50
+    heads = r.read(spark, str(tmp_path / "90.rec"), mode="header").orderBy("car_index").collect()
+    assert [(h.car_id, h.num_cars, h.extra_version, h.patch_driver_name) for h in heads] == [(f"car {k}", 90, (6, 7, None)[k % 3], f"driver {k % 2}") for k in range(90)]
+    assert r.read(spark, str(tmp_path / "90.rec"), "driver 1", columns=["car_index", "clutch"]).where("car_index % 3 < 2").select("car_index", "clutch").distinct().count() == 60
+
+
+def test_building_a_recording_copies_no_car_twice(monkeypatch):
+    class Counted(bytes):
+        grown = 0
+
+        def __add__(self, other):
+            Counted.grown += len(self)
+            return Counted(bytes(self) + other)
+
+    monkeypatch.setattr(recording_writer, "_text", lambda value, whole=recording_writer._text: Counted(whole(value)))
+    monkeypatch.setattr(recording_writer.struct, "pack", lambda *a, whole=struct.pack: Counted(whole(*a)))
+    data = many_cars(60)
+    assert Counted.grown < 2 * len(data)
+    monkeypatch.undo()
+    assert many_cars(60) == data and len(r.parse(data)[1]) == 60
+
+
+def test_preambles_format_no_frame(spark, tmp_path, monkeypatch):
+    path = tmp_path / "90.rec"
+    path.write_bytes(many_cars(7))
+    whole = {(x.path, x.car): x.preamble for x in frame_csv.texts(spark, str(path)).where("lo = 0").collect()}
+    heads = frame_csv.preambles(spark, str(path))
+    assert {(x.path, x.car): x.preamble for x in heads.collect()} == whole and "body" not in heads.columns
+
+
+def test_cars_of_a_name_do_not_try_all_numbers(tmp_path, monkeypatch):
+    tried, exists = [], Path.exists
+    monkeypatch.setattr(Path, "exists", lambda self, **more: tried.append(self) or exists(self, **more))
+    taken, names = {}, []
+    (tmp_path / "x_d (3).csv").write_text("")
+    for _ in range(40):
+        found = frame_csv.output_path(Path("x.rec"), f"{tmp_path}/", "d", 40, None, taken)
+        found.write_text("")
+        names.append(found.name)
+    assert names == ["x_d.csv", "x_d (2).csv", *[f"x_d ({n}).csv" for n in range(4, 42)]]
+    assert len(tried) < 90
+    assert frame_csv.output_path(Path("x.rec"), f"{tmp_path}/", "d", 40, None, {}).name == "x_d (42).csv"
