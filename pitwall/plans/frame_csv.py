@@ -98,13 +98,13 @@ def _heads(batches):
 def preambles(spark: SparkSession, paths: list[str] | str):
     """(path, car, preamble) of each car: it stands in the headers, no frame is formatted for it."""
     cars = recording.layouts(spark, [paths] if isinstance(paths, str) else paths)
-    return cars.repartition("path", "car").mapInArrow(_heads, "path string, car int, preamble string")
+    return recording.dealt(cars, "path", "car").mapInArrow(_heads, "path string, car int, preamble string")
 
 
 def texts(spark: SparkSession, paths: list[str] | str):
     """(path, car, lo, preamble, driver, cars, body): the text of ranges of frames; the first of a car has its preamble."""
     cars = recording.layouts(spark, [paths] if isinstance(paths, str) else paths)
-    return recording.ranges(cars, recording.RANGE // 10).repartition("path", "car", "lo").mapInArrow(_formatted, "path string, car int, lo long, preamble string, driver string, cars int, body string")
+    return recording.dealt(recording.ranges(cars, recording.RANGE // 10), "path", "car", "lo").mapInArrow(_formatted, "path string, car int, lo long, preamble string, driver string, cars int, body string")
 
 
 def free_path(path: Path, taken: dict[Path, int] | None = None) -> Path:

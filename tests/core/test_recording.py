@@ -3,6 +3,7 @@ import struct
 from pathlib import Path
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from pitwall.plans import frame_csv
@@ -128,3 +129,14 @@ def test_cars_of_a_name_do_not_try_all_numbers(tmp_path, monkeypatch):
     assert names == ["x_d.csv", "x_d (2).csv", *[f"x_d ({n}).csv" for n in range(4, 42)]]
     assert len(tried) < 90
     assert frame_csv.output_path(Path("x.rec"), f"{tmp_path}/", "d", 40, None, {}).name == "x_d (42).csv"
+
+
+def test_short_cars_keep_their_tasks_and_share_batches(spark, tmp_path):
+    for n in (1, 2):
+        (tmp_path / f"{n}.rec").write_bytes(many_cars(90))
+    df = r.read(spark, [str(tmp_path / f"{n}.rec") for n in (1, 2)], columns=["source_file", "car_index", "sample_index"])
+    seen = df.selectExpr("spark_partition_id() AS p", "*").collect()
+    assert len({x.p for x in seen}) == 4 and len({(x.source_file, x.car_index, x.sample_index) for x in seen}) == len(seen) == 360
+    parts = [pa.record_batch({"a": [n]}) for n in range(25_000)]
+    joined = list(r._joined(iter(parts)))
+    assert [b.num_rows for b in joined] == [10_000, 10_000, 5_000] and joined[2]["a"][0].as_py() == 20_000
